@@ -6,85 +6,76 @@ regex pass.  The marks are Unicode noncharacters; a text that holds them is sear
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from noticeflow.functions.text import let
+from noticeflow.functions.text import fn, let, q
 
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
 MARK_VALUE = f"$1{OPEN}$2{CLOSE}$3"
 
-MATCH = "array<struct<start:int,end:int,value:string>>"
+MATCHES = "array<struct<start:int,end:int,value:string>>"
 SPAN = "struct<start:int,end:int,label:string,rule:string,prio:int,ord:int,confidence:double>"
+_RANKED = "array<struct<p:int,l:int,start:int,ord:int,end:int,label:string,rule:string,confidence:double>>"
 
 
-def searchable(text: Column) -> Column:
-    """The text with the two marks, should they occur, replaced by another symbol of the same length."""
-    held = text.contains(OPEN) | text.contains(CLOSE)
-    return F.when(held, F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")).otherwise(text)
+def empty(array_type: str) -> str:
+    return f"cast(array() as {array_type})"
 
 
-def matches(text: Column, pattern: str, marked_form: str = MARK_VALUE) -> Column:
-    """array<struct<start,end,value>> of the marked groups of all matches, in text order."""
-    parts = F.split(F.regexp_replace(text, pattern, marked_form), OPEN, -1)
+def searchable(text: str) -> str:
+    """The text with the two marks, should they occur, replaced by another symbol of the same length."""
+    return (f"if(contains({text}, {q(OPEN)}) OR contains({text}, {q(CLOSE)}), "
+            f"translate({text}, {q(OPEN + CLOSE)}, {q(chr(0xFFFD) * 2)}), {text})")
 
-    def step(acc: Column, part: Column) -> Column:
-        return let(F.substring_index(part, CLOSE, 1), lambda value: F.struct(
-            (acc["pos"] + F.length(part) - 1).alias("pos"),
-            F.array_append(acc["out"], F.struct(
-                acc["pos"].alias("start"),
-                (acc["pos"] + F.length(value)).alias("end"),
-                value.alias("value"))).alias("out")))
 
-    def offsets(ps: Column) -> Column:
-        start = F.struct(F.length(F.get(ps, F.lit(0))).alias("pos"), F.array().cast(MATCH).alias("out"))
-        return F.when(F.size(ps) == 1, F.array().cast(MATCH)).otherwise(
-            F.aggregate(F.slice(ps, F.lit(2), F.size(ps)), start, step, lambda acc: acc["out"]))
+def matches(text: str, pattern: str, marked_form: str = MARK_VALUE) -> str:
+    """array<struct<start,end,value>> of the marked groups of all matches, in text order."""
+    def step(acc: str, part: str) -> str:
+        return let(f"substring_index({part}, {q(CLOSE)}, 1)", lambda value: (
+            f"named_struct('pos', {acc}.pos + length({part}) - 1, 'out', array_append({acc}.out, named_struct("
+            f"'start', {acc}.pos, 'end', {acc}.pos + length({value}), 'value', {value})))"))
 
-    return let(parts, offsets)
+    def offsets(ps: str) -> str:
+        zero = f"named_struct('pos', length({ps}[0]), 'out', {empty(MATCHES)})"
+        return (f"if(size({ps}) = 1, {empty(MATCHES)}, aggregate(slice({ps}, 2, size({ps}) - 1), {zero}, "
+                f"{fn(step, 'a', 'p')}, {fn(lambda acc: acc + '.out')}))")
 
+    return let(f"split(regexp_replace({text}, {q(pattern)}, {q(marked_form)}), {q(OPEN)}, -1)", offsets)
 
-def span(start: Column, end: Column, label, rule, prio, ordinal, confidence=None) -> Column:
-    def col(v):
-        return v if isinstance(v, Column) else F.lit(v)
 
-    return F.struct(
-        start.cast("int").alias("start"), end.cast("int").alias("end"), col(label).alias("label"),
-        col(rule).alias("rule"), col(prio).cast("int").alias("prio"), col(ordinal).cast("int").alias("ord"),
-        (F.lit(None) if confidence is None else confidence).cast("double").alias("confidence"))
+def span(start: str, end: str, label: str, rule: str, prio: str, ordinal: str, confidence: str = "null") -> str:
+    return (f"named_struct('start', int({start}), 'end', int({end}), 'label', {label}, 'rule', {rule}, "
+            f"'prio', int({prio}), 'ord', int({ordinal}), 'confidence', double({confidence}))")
 
 
-def choose(spans: Column) -> Column:
+def choose(spans: str) -> str:
     """Resolve overlaps: higher priority, then longer, then earlier, then rule order; result in text order.
 
     The greedy choice only matters inside a run of spans that touch each other, so runs are closed as soon as the
     next span starts beyond them and each run is decided alone: cost follows the size of the runs, not of the text.
     """
-    ranked = "struct<p:int,l:int,start:int,ord:int,end:int,label:string,rule:string,confidence:double>"
-
-    def rank(s: Column) -> Column:
-        return F.struct((-s["prio"]).alias("p"), (s["start"] - s["end"]).alias("l"), s["start"].alias("start"),
-                        s["ord"].alias("ord"), s["end"].alias("end"), s["label"].alias("label"),
-                        s["rule"].alias("rule"), s["confidence"].alias("confidence"))
-
-    def keep(kept: Column, s: Column) -> Column:
-        clash = F.exists(kept, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"]))
-        return F.when(clash, kept).otherwise(F.array_append(kept, s))
-
-    def decide(run: Column) -> Column:
-        return F.when(F.size(run) < 2, run).otherwise(
-            F.aggregate(F.array_sort(run), F.array().cast(f"array<{ranked}>"), keep))
-
-    def step(acc: Column, s: Column) -> Column:
-        closed = F.struct(F.concat(acc["done"], decide(acc["run"])).alias("done"),
-                          F.array(rank(s)).alias("run"), s["end"].alias("reach"))
-        grown = F.struct(acc["done"].alias("done"), F.array_append(acc["run"], rank(s)).alias("run"),
-                         F.greatest(acc["reach"], s["end"]).alias("reach"))
-        return F.when(s["start"] >= acc["reach"], closed).otherwise(grown)
-
-    empty = F.struct(F.array().cast(f"array<{ranked}>").alias("done"), F.array().cast(f"array<{ranked}>").alias("run"),
-                     F.lit(0).alias("reach"))
-    return let(spans, lambda all_spans: F.when(F.size(all_spans) < 2, all_spans).otherwise(
-        F.array_sort(F.transform(
-            F.aggregate(F.array_sort(all_spans), empty, step, lambda acc: F.concat(acc["done"], decide(acc["run"]))),
-            lambda r: span(r["start"], r["end"], r["label"], r["rule"], -r["p"], r["ord"], r["confidence"])))))
+    def rank(s: str) -> str:
+        return (f"named_struct('p', -{s}.prio, 'l', {s}.start - {s}.end, 'start', {s}.start, 'ord', {s}.ord, "
+                f"'end', {s}.end, 'label', {s}.label, 'rule', {s}.rule, 'confidence', {s}.confidence)")
+
+    def keep(kept: str, s: str) -> str:
+        clash = fn(lambda k: f"{s}.start < {k}.end AND {k}.start < {s}.end")
+        return f"if(exists({kept}, {clash}), {kept}, array_append({kept}, {s}))"
+
+    def decide(run: str) -> str:
+        return f"if(size({run}) < 2, {run}, aggregate(array_sort({run}), {empty(_RANKED)}, {fn(keep, 'k', 's')}))"
+
+    def step(acc: str, s: str) -> str:
+        closed = (f"named_struct('done', concat({acc}.done, {decide(acc + '.run')}), 'run', array({rank(s)}), "
+                  f"'reach', {s}.end)")
+        grown = (f"named_struct('done', {acc}.done, 'run', array_append({acc}.run, {rank(s)}), "
+                 f"'reach', greatest({acc}.reach, {s}.end))")
+        return f"if({s}.start >= {acc}.reach, {closed}, {grown})"
+
+    def resolve(found: str) -> str:
+        zero = f"named_struct('done', {empty(_RANKED)}, 'run', {empty(_RANKED)}, 'reach', 0)"
+        finish = fn(lambda acc: f"concat({acc}.done, {decide(acc + '.run')})")
+        chosen = f"aggregate(array_sort({found}), {zero}, {fn(step, 'a', 's')}, {finish})"
+        back = fn(lambda r: span(f"{r}.start", f"{r}.end", f"{r}.label", f"{r}.rule", f"-{r}.p", f"{r}.ord",
+                                 f"{r}.confidence"))
+        return f"if(size({found}) < 2, {found}, array_sort(transform({chosen}, {back})))"
+
+    return let(spans, resolve)

@@ -1,4 +1,7 @@
-"""Text columns with the whitespace, digit and line rules the operators share.
+"""Text expressions with the whitespace, digit and line rules the operators share.
+
+All helpers take and return Spark SQL expression text.  One ``F.expr`` per expression keeps plan building cheap (a
+deep Column tree costs several driver round trips per node) and the expression readable in the plan.
 
 Spark's regex engine is Java's, whose ``\\s \\d \\w`` are ASCII by default and whose ``.``/``$`` know more line
 terminators than ``\\n``.  The operators define these classes over Unicode and lines by ``\\n``, so patterns are
@@ -6,9 +9,10 @@ written with the usual escapes and passed through :func:`rx`.
 """
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = r"\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -49,69 +53,100 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?d{flags})" + "".join(out)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+_names = itertools.count(1)
+
+
+def q(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fresh(prefix: str = "v") -> str:
+    return f"{prefix}{next(_names)}"
+
+
+def fn(body: Callable[..., str], *prefixes: str) -> str:
+    """Lambda text with fresh variable names."""
+    names = [fresh(p) for p in (prefixes or ("v",))]
+    args = names[0] if len(names) == 1 else f"({', '.join(names)})"
+    return f"{args} -> {body(*names)}"
+
+
+def let(value: str, body: Callable[[str], str]) -> str:
     """Evaluate ``value`` once and use it any number of times in ``body``, also inside lambdas.
 
     Catalyst may inline a projected column into the lambda that reads it, which would run it per element.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return f"get(transform(array({value}), {fn(body)}), 0)"
 
 
-def once(df, *structs: Column):
+def once(df: DataFrame, *structs: str) -> DataFrame:
     """Add the fields of the structs as columns, each struct computed once per row.
 
     Several references to fields of a projected struct, or a filter on one, may make Catalyst repeat the whole
     expression; a generator of one row keeps it in one place.
     """
     for s in structs:
-        df = df.select("*", F.inline(F.array(s)))
+        df = df.select("*", F.expr(f"inline(array({s}))"))
     return df
 
 
-def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(SPACES))
+def any_of(*conditions: str) -> str:
+    return "(" + " OR ".join(conditions) + ")"
 
 
-def rstrip(c: Column) -> Column:
-    return F.rtrim(c, F.lit(SPACES))
+def all_of(*conditions: str) -> str:
+    return "(" + " AND ".join(conditions) + ")"
 
 
-def is_blank(c: Column) -> Column:
-    """Null, empty or whitespace only."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+def rlike(c: str, pattern: str) -> str:
+    return f"({c} RLIKE {q(pattern)})"
+
+
+def replace_all(c: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({c}, {q(pattern)}, {q(by)})"
+
 
+def strip(c: str) -> str:
+    return f"trim(BOTH {q(SPACES)} FROM {c})"
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+
+def rstrip(c: str) -> str:
+    return f"trim(TRAILING {q(SPACES)} FROM {c})"
+
+
+def is_blank(c: str) -> str:
+    """Null, empty or whitespace only."""
+    return f"coalesce({strip(c)} = '', true)"
 
 
-def collapse_spaces(c: Column) -> Column:
-    return F.regexp_replace(strip(c), rx(r"\s+"), " ")
+def collapse_spaces(c: str) -> str:
+    return replace_all(strip(c), rx(r"\s+"), " ")
 
 
-def no_spaces_lower(c: Column) -> Column:
+def no_spaces_lower(c: str) -> str:
     """Key for comparing list names: whitespace removed, lower case."""
-    return F.lower(F.regexp_replace(c, rx(r"\s+"), ""))
+    return f"lower({replace_all(c, rx(chr(92) + 's+'), '')})"
 
 
-def lines(c: Column) -> Column:
-    return F.split(c, "\n", -1)
+def lines(c: str) -> str:
+    return f"split({c}, {q(chr(10))}, -1)"
 
 
-def ascii_digits(c: Column) -> Column:
-    return F.translate(c, _WIDE_DIGITS, "0123456789")
+def ascii_digits(c: str) -> str:
+    return f"translate({c}, '{_WIDE_DIGITS}', '0123456789')"
 
 
-def cut_label(c: Column, n: int) -> Column:
+def cut_label(c: str, n: int) -> str:
     """First ``n`` characters, with an ellipsis when something was cut."""
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
+    return let(c, lambda v: f"if(length({v}) > {n}, concat(substring({v}, 1, {n}), '…'), {v})")
 
 
-def tidy(c: Column) -> Column:
+def tidy(c: str) -> str:
     """Drop carriage returns and blanks before a line end, keep at most one empty line, trim."""
-    c = F.replace(c, F.lit("\r"), F.lit(""))
-    c = F.regexp_replace(c, r"[ \t]+\n", "\n")
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
+    c = f"replace({c}, {q(chr(13))}, '')"
+    c = replace_all(c, r"[ \t]+\n", "\n")
+    c = replace_all(c, r"\n{3,}", "\n\n")
     return strip(c)
 
 
@@ -120,14 +155,15 @@ def tidy(c: Column) -> Column:
 _PIECE = 1024
 
 
-def pieces(c: Column) -> Column:
+def pieces(c: str, size: int = _PIECE) -> str:
     """The text as an array of equal pieces, so that many cuts of a long text stay linear in its length."""
-    return F.regexp_extract_all(c, F.lit("(?s).{1,%d}" % _PIECE), F.lit(0))
+    return f"regexp_extract_all({c}, '(?s).{{1,{size}}}', 0)"
 
 
-def cut(parts: Column, start: Column, end: Column) -> Column:
+def cut(parts: str, start: str, end: str) -> str:
     """``text[start:end]`` (0-based, code points) from :func:`pieces`; offsets must lie inside the text."""
-    first = F.floor(start / _PIECE).cast("int")
-    last = F.floor((end - 1) / _PIECE).cast("int")
-    joined = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
-    return F.when(end > start, F.substring(joined, start - first * _PIECE + 1, end - start)).otherwise("")
+    first = f"int(({start}) div {_PIECE})"
+    last = f"int((({end}) - 1) div {_PIECE})"
+    joined = f"array_join(slice({parts}, {first} + 1, {last} - {first} + 1), '')"
+    return (f"if(({end}) > ({start}), substring({joined}, int(({start}) - {first} * {_PIECE} + 1), "
+            f"int(({end}) - ({start}))), '')")

@@ -1,11 +1,11 @@
 """Reversible masking: numbered tokens, mapping, restore, counts and the round-trip audit."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.functions import spans as S
-from noticeflow.functions.text import cut, let, once, pieces, strip
+from noticeflow.functions.text import cut, fn, let, once, pieces, q, strip
 from noticeflow.operators import pii_rules as R
 from noticeflow.operators.pii_detect import FAMILIES, rule_spans
 
@@ -13,100 +13,93 @@ TOKEN = r"\[(?:" + "|".join(R.PREFIXES.values()) + r")\p{Nd}+\]"
 MASKED_SPAN = ("struct<start:int,end:int,label:string,rule:string,prio:int,confidence:double,value:string,"
                "token:string>")
 MASKED = f"struct<masked:string,mapping:map<string,string>,spans:array<{MASKED_SPAN}>>"
-_KEY_SEP = "\u0000"
+_PREFIX_MAP = f"map({', '.join(q(v) for kv in R.PREFIXES.items() for v in kv)})"
+_SEP = q(chr(1))
 
 
-def prefix_of(label: Column) -> Column:
-    names = F.create_map(*[F.lit(v) for kv in R.PREFIXES.items() for v in kv])
-    return F.coalesce(F.element_at(names, label), F.lit("정보"))
+def prefix_of(label: str) -> str:
+    return f"coalesce(element_at({_PREFIX_MAP}, {label}), '정보')"
 
 
-def mask_text(text: Column, detections: Column) -> Column:
+def mask_text(text: str, detections: str) -> str:
     """struct<masked, mapping, spans>: overlaps resolved, equal (label, stripped value) gets the same token."""
-    def untouched(x: Column) -> Column:
-        return F.struct(x.alias("masked"), F.create_map().cast("map<string,string>").alias("mapping"),
-                        F.array().cast(f"array<{MASKED_SPAN}>").alias("spans")).cast(MASKED)
-
-    def numbered(x: Column, spans: Column) -> Column:
-        def with_values(parts: Column) -> Column:
-            values = F.transform(spans, lambda s: cut(parts, s["start"], s["end"]))
-
-            def with_keys(vs: Column) -> Column:
-                keys = F.zip_with(spans, vs, lambda s, v: F.concat(s["label"], F.lit(_KEY_SEP), strip(v)))
-
-                def with_tokens(ks: Column) -> Column:
-                    def per_label(distinct: Column) -> Column:
-                        labels = F.array_distinct(F.transform(spans, lambda s: s["label"]))
-                        return F.map_from_entries(F.flatten(F.transform(labels, lambda label: F.transform(
-                            F.filter(distinct, lambda k: F.substring_index(k, _KEY_SEP, 1) == label),
-                            lambda k, i: F.struct(k.alias("key"), F.concat(
-                                F.lit("["), prefix_of(label), (i + 1).cast("string"), F.lit("]")).alias("token"))))))
-
-                    def assemble(token_of: Column) -> Column:
-                        tokens = F.transform(ks, lambda k: F.element_at(token_of, k))
-
-                        def final(ts: Column) -> Column:
-                            gaps = F.transform(spans, lambda s, i: cut(
-                                parts, F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"]), s["start"]))
-                            tail = cut(parts, F.element_at(spans, -1)["end"], F.length(x))
-                            masked = F.concat(F.array_join(F.zip_with(gaps, ts, lambda g, t: F.concat(g, t)), ""),
-                                              tail)
-                            first_use = F.transform(F.array_distinct(ts), lambda t: F.struct(
-                                t.alias("k"), F.element_at(vs, F.array_position(ts, t).cast("int")).alias("v")))
-                            spans_out = F.zip_with(F.arrays_zip(spans.alias("s"), vs.alias("v")), ts,
-                                                   lambda sv, t: F.struct(
-                                sv["s"]["start"].alias("start"), sv["s"]["end"].alias("end"),
-                                sv["s"]["label"].alias("label"), sv["s"]["rule"].alias("rule"),
-                                sv["s"]["prio"].alias("prio"), sv["s"]["confidence"].alias("confidence"),
-                                sv["v"].alias("value"), t.alias("token")))
-                            return F.struct(masked.alias("masked"),
-                                            F.map_from_entries(first_use).alias("mapping"),
-                                            spans_out.alias("spans")).cast(MASKED)
-                        return let(tokens, final)
-                    return let(let(F.array_distinct(ks), per_label), assemble)
-                return let(keys, with_tokens)
-            return let(values, with_keys)
-        return let(pieces(x), with_values)
-
-    return let(S.choose(detections), lambda spans: F.when(F.size(spans) == 0, untouched(text)).otherwise(
-        numbered(text, spans)))
+    untouched = (f"cast(named_struct('masked', {text}, 'mapping', cast(map() as map<string,string>), "
+                 f"'spans', {S.empty(f'array<{MASKED_SPAN}>')}) as {MASKED})")
+
+    def numbering(spans: str, keys: str) -> str:
+        """map key -> token; numbers run per label over the distinct keys in text order."""
+        def per_label(distinct: str) -> str:
+            def tokens(label: str) -> str:
+                mine = f"filter({distinct}, {fn(lambda k: f'substring_index({k}, {_SEP}, 1) = {label}')})"
+                entry = fn(lambda k, i: f"struct({k}, concat('[', {prefix_of(label)}, {i} + 1, ']'))", "k", "i")
+                return f"transform({mine}, {entry})"
+            labels = f"array_distinct(transform({spans}, {fn(lambda s: s + '.label')}))"
+            return f"map_from_entries(flatten(transform({labels}, {fn(tokens)})))"
+        return let(f"array_distinct({keys})", per_label)
+
+    def assemble(spans: str, parts: str, values: str, tokens: str) -> str:
+        end_before = lambda i: f"if({i} = 0, 0, get({spans}, {i} - 1).end)"
+        pieces_out = fn(lambda s, i: f"concat({cut(parts, end_before(i), s + '.start')}, {tokens}[{i}])", "s", "i")
+        tail = cut(parts, f"element_at({spans}, -1).end", f"length({text})")
+        first_use = fn(lambda t: f"struct({t}, element_at({values}, int(array_position({tokens}, {t}))))")
+        span_out = fn(lambda s, i: (
+            f"named_struct('start', {s}.start, 'end', {s}.end, 'label', {s}.label, 'rule', {s}.rule, 'prio', {s}.prio,"
+            f" 'confidence', {s}.confidence, 'value', {values}[{i}], 'token', {tokens}[{i}])"), "s", "i")
+        return (f"cast(named_struct('masked', concat(array_join(transform({spans}, {pieces_out}), ''), {tail}), "
+                f"'mapping', map_from_entries(transform(array_distinct({tokens}), {first_use})), "
+                f"'spans', transform({spans}, {span_out})) as {MASKED})")
+
+    def numbered(spans: str, parts: str) -> str:
+        values = f"transform({spans}, {fn(lambda s: cut(parts, s + '.start', s + '.end'))})"
+
+        def keyed(vs: str) -> str:
+            keys = f"zip_with({spans}, {vs}, " + fn(lambda s, v: f"concat({s}.label, {_SEP}, {strip(v)})", "s", "v") + ")"
+            tokens = let(keys, lambda ks: let(numbering(spans, ks), lambda token_of: (
+                f"transform({ks}, {fn(lambda k: f'element_at({token_of}, {k})')})")))
+            return let(tokens, lambda ts: assemble(spans, parts, vs, ts))
+
+        return let(values, keyed)
+
+    return let(S.choose(detections), lambda spans: (
+        f"if(size({spans}) = 0, {untouched}, {let(pieces(text), lambda parts: numbered(spans, parts))})"))
 
 
 def mask(df: DataFrame, text: str = "text", families=FAMILIES, rules=None,
-         extra_spans: Column | None = None) -> DataFrame:
+         extra_spans: str | None = None) -> DataFrame:
     """Add ``masked``, ``mapping`` (token -> value) and ``spans``.
 
     ``extra_spans`` joins model detections to the rule detections.
     """
-    found = rule_spans(F.col(text), families, rules)
+    found = rule_spans(text, families, rules)
     if extra_spans is not None:
-        found = F.concat(found, extra_spans)
-    return once(df, mask_text(F.col(text), found))
+        found = f"concat({found}, {extra_spans})"
+    return once(df, mask_text(text, found))
 
 
-def restore_text(text: Column, mapping: Column) -> Column:
+def restore_text(text: str, mapping: str) -> str:
     """Replace known tokens by their value in one pass; unknown tokens and inserted values are left alone."""
-    def rebuild(tokens: Column) -> Column:
-        gaps = F.split(text, TOKEN, -1)
-        values = F.transform(tokens, lambda t: F.coalesce(F.element_at(mapping, t), t))
-        return F.array_join(F.zip_with(gaps, values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+    def rebuild(tokens: str) -> str:
+        join = fn(lambda g, t: f"concat({g}, coalesce(element_at({mapping}, {t}), {t}, ''))", "g", "t")
+        return (f"if(size({tokens}) = 0, {text}, array_join(zip_with(split({text}, {q(TOKEN)}, -1), {tokens}, {join}), "
+                f"''))")
 
-    has_token = text.contains("[") & mapping.isNotNull()
-    return F.when(has_token, let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda ts: F.when(
-        F.size(ts) == 0, text).otherwise(rebuild(ts)))).otherwise(text)
+    return (f"if(contains({text}, '[') AND {mapping} IS NOT NULL, "
+            f"{let(f'regexp_extract_all({text}, {q(TOKEN)}, 0)', rebuild)}, {text})")
 
 
-def label_counts(spans: Column) -> Column:
+def label_counts(spans: str) -> str:
     """array<struct<label,n>> in first-seen order."""
-    labels = F.transform(spans, lambda s: s["label"])
-    return let(labels, lambda ls: F.transform(F.array_distinct(ls), lambda label: F.struct(
-        label.alias("label"), F.size(F.filter(ls, lambda x: x == label)).alias("n"))))
+    def count(labels: str) -> str:
+        each = fn(lambda label: f"named_struct('label', {label}, 'n', size(filter({labels}, "
+                                f"{fn(lambda x: f'{x} = {label}')})))")
+        return f"transform(array_distinct({labels}), {each})"
+    return let(f"transform({spans}, {fn(lambda s: s + '.label')})", count)
 
 
-def summary(spans: Column) -> Column:
+def summary(spans: str) -> str:
     """'이름 2, 전화 1' in first-seen order."""
-    return F.array_join(F.transform(label_counts(spans), lambda c: F.concat(
-        prefix_of(c["label"]), F.lit(" "), c["n"].cast("string"))), ", ")
+    each = fn(lambda c: f"concat({prefix_of(c + '.label')}, ' ', {c}.n)")
+    return f"array_join(transform({label_counts(spans)}, {each}), ', ')"
 
 
 def audit(df: DataFrame, text: str = "text") -> DataFrame:
@@ -116,4 +109,4 @@ def audit(df: DataFrame, text: str = "text") -> DataFrame:
     ``round_trip = false`` instead of being hidden.
     """
     return df.select("*", F.size("spans").alias("n_masked"),
-                     (restore_text(F.col("masked"), F.col("mapping")) == F.col(text)).alias("round_trip"))
+                     F.expr(f"{restore_text('masked', 'mapping')} <=> {text}").alias("round_trip"))

@@ -1 +1,163 @@
-"""(being written)"""
+"""Streaming operators.  Each stream runs over the whole table with ``availableNow`` into a table, which is read back;
+the SQL is that of the batch result."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noticeflow.operators import responses as R
+from noticeflow.operators.pii_mask import mask
+from noticeflow.operators.quotes import split_quotes
+from noticeflow.plans.durable import shared_folder
+from noticeflow.queries import query, table
+from noticeflow.queries.messages import STORE, raw_messages
+from noticeflow.queries.personal_data import EMAIL
+from noticeflow.streaming import errors, idle, polling
+
+
+def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}*.parquet")
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """Run a stream to the end of its input and read what it wrote."""
+    spark = stream.sparkSession
+    out = shared_folder(spark)
+    run = (stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
+           .trigger(availableNow=True).start())
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+
+
+@query("polled_messages", f"""
+WITH {STORE} SELECT key, sender, title FROM store WHERE NOT deleted AND NOT bad AND key > (SELECT max(key) - 500 FROM store)
+""")
+def polled_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """First run with a stored start key; later messages only."""
+    raw = raw_messages(spark, sf)
+    seen = raw.filter(F.col("MessageKey") <= raw.agg(F.max("MessageKey") - 500).scalar())
+    state = f"{shared_folder(spark)}/start"
+    key = polling.start_key(spark, seen, state)
+    again = polling.start_key(spark, raw, state)
+    return polling.after_key(raw, max(key, again)).select("key", "sender", "title")
+
+
+@query("delivered_once", "SELECT event_id AS key FROM events")
+def delivered_once(spark: SparkSession, sf: str) -> DataFrame:
+    twice = stream_of(spark, sf, "events").selectExpr("event_id AS key", "ts AS received", "explode(array(1, 2)) AS n").drop("n")
+    return drained(polling.deliver_once(twice)).select("key")
+
+
+@query("forced_fetch", f"""
+WITH {STORE}, latest AS (SELECT * FROM store WHERE NOT deleted ORDER BY key DESC LIMIT 20)
+SELECT key, 'unread' AS mode FROM (SELECT key FROM latest WHERE is_unread = 1 AND NOT bad ORDER BY key DESC LIMIT 5)
+UNION ALL SELECT key, 'newest' FROM (SELECT key FROM latest WHERE NOT bad ORDER BY key DESC LIMIT 1)
+UNION ALL SELECT key, 'after' FROM (SELECT * FROM store WHERE NOT deleted AND key > 77 ORDER BY key LIMIT 20) WHERE NOT bad
+""")
+def forced_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    raw = raw_messages(spark, sf)
+    read = raw.withColumn("IsUnRead", F.lit(0))
+    modes = ((raw, 0, "unread"), (read, 0, "newest"), (raw, 77, "after"))
+    parts = [polling.fetch_now(df, key).select("key", F.lit(mode).alias("mode")) for df, key, mode in modes]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_POLLS = ("user_id AS source", "event_id AS seq", "CASE event_type WHEN 'error' THEN 'no folder' WHEN 'view' THEN 'no file' "
+          "WHEN 'click' THEN 'no file' END AS error")
+_SUPPRESSED = """
+WITH p AS (SELECT user_id AS source, event_id AS seq, CASE event_type WHEN 'error' THEN 'no folder' WHEN 'view' THEN 'no file'
+                  WHEN 'click' THEN 'no file' ELSE '' END AS error FROM events),
+     l AS (SELECT *, lag(error, 1, '') OVER (PARTITION BY source ORDER BY seq) AS before FROM p)
+SELECT source, seq, error FROM l WHERE error <> '' AND error <> before
+"""
+
+
+@query("repeated_errors", _SUPPRESSED)
+def repeated_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return errors.suppress_repeats(table(spark, sf, "events").selectExpr(*_POLLS))
+
+
+@query("repeated_errors_stream", _SUPPRESSED)
+def repeated_errors_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return drained(errors.suppress_repeats_stream(stream_of(spark, sf, "events").selectExpr(*_POLLS)))
+
+
+@query("dead_letters", """
+SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS input_id, CASE WHEN turn % 4 = 0 THEN '알 수 없는 입력 종류: fax' WHEN turn % 4 = 1 THEN '빈 텍스트입니다.'
+       WHEN turn % 4 = 2 THEN 'cannot parse' ELSE 'ok' END AS outcome FROM conversations
+""")
+def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    inputs = stream_of(spark, sf, "conversations").selectExpr(
+        "string(conv_id * 1000 + turn) AS input_id", "if(turn % 4 = 0, 'fax', 'text') AS kind",
+        "if(turn % 4 = 1, ' ', text) AS text", "turn % 4 AS k")
+    out = shared_folder(spark)
+
+    def work(good: DataFrame) -> DataFrame:
+        return good.selectExpr("input_id", "if(k = 2, 'cannot parse', null) AS error")
+
+    writer = errors.process_inputs(inputs, work, f"{out}/results", f"{out}/dead", f"{out}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    good = spark.read.parquet(f"{out}/results").selectExpr("input_id", "'ok' AS outcome")
+    return good.unionByName(spark.read.parquet(f"{out}/dead").selectExpr("input_id", "error AS outcome"))
+
+
+@query("idle_gaps", """
+WITH g AS (SELECT user_id, event_id, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000000.0 AS gap FROM events
+           WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id, CASE WHEN gap >= 1800 THEN 'sleeping' WHEN gap >= 300 THEN 'bored' WHEN gap IS NOT NULL THEN 'idle' ELSE '' END AS state FROM g
+""")
+def idle_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return idle.idle_gaps(table(spark, sf, "events")).selectExpr("user_id", "event_id", "coalesce(state, '') AS state")
+
+
+_SESSIONS = """
+WITH e AS (SELECT user_id, ts, CAST(coalesce(ts - lag(ts) OVER w > INTERVAL {minutes} MINUTE, TRUE) AS INTEGER) AS new FROM events
+           WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+     s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e),
+     o AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL {minutes} MINUTE AS b, count(*) AS n_events FROM s GROUP BY user_id, n)
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_end, n_events FROM o
+"""
+
+
+def _flat_sessions(df: DataFrame) -> DataFrame:
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return df.selectExpr("user_id", f"date_format(session_start, '{fmt}') AS session_start",
+                         f"date_format(session_end, '{fmt}') AS session_end", "n_events")
+
+
+@query("bored_sessions", _SESSIONS.format(minutes=5))
+def bored_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat_sessions(idle.activity_sessions(table(spark, sf, "events"), 5))
+
+
+@query("sleeping_sessions_stream", _SESSIONS.format(minutes=30) + " WHERE b <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def sleeping_sessions_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions closed by the watermark."""
+    return _flat_sessions(drained(idle.activity_sessions(stream_of(spark, sf, "events"), 30)))
+
+
+@query("masked_stream", f"SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents")
+def masked_stream(spark: SparkSession, sf: str) -> DataFrame:
+    found = mask(stream_of(spark, sf, "documents"), rules=["email"]).selectExpr("doc_id", "inline(spans)")
+    return drained(found.select("doc_id", "value"))
+
+
+@query("quotes_stream", """
+SELECT conv_id, turn, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS recent_md5, '홍님이 보낸글 >>' || chr(10) || 'old ' || turn AS older FROM conversations
+""")
+def quotes_stream(spark: SparkSession, sf: str) -> DataFrame:
+    bodies = stream_of(spark, sf, "conversations").selectExpr("conv_id", "turn", "concat(text, '\\n홍님이 보낸글 >>\\n> old ', turn) AS body")
+    marked = split_quotes(bodies).selectExpr("conv_id", "turn", "md5(recent) AS recent_md5", "older")
+    return drained(marked.selectExpr("conv_id", "turn", "recent_md5", "replace(older, '> old', 'old') AS older"))
+
+
+@query("late_items_stream", """
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS n_items, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS n_past FROM events
+""")
+def late_items_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Items dated before the message's own day are dropped row by row; no watermark is involved."""
+    answers = stream_of(spark, sf, "events").selectExpr(
+        "event_id", "to_date(ts) AS reference_date", "'s' AS source",
+        "concat('{\"items\": [{\"title\": \"t\", \"date\": \"', date_add(to_date(ts), if(event_id % 2 = 0, 0, -1)), '\"}]}') AS raw")
+    parsed = R.parse_responses(answers, drop_before="reference_date")
+    return drained(parsed.selectExpr("event_id", "size(items) AS n_items", "n_past"))

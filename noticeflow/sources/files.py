@@ -103,7 +103,7 @@ def table_rows_by_count(cells: DataFrame, counts: DataFrame, *keys: str) -> Data
     ends = counts.select(*keys, "row", "n", F.sum("n").over(w).alias("hi"))
     places = ends.filter("n > 0").select(*keys, "row", F.expr("explode(sequence(hi - n, hi - 1))").alias("seq"))
     rows_end = ends.groupBy(*keys).agg(F.max("row").alias("_last"))
-    joined = (cells.join(places, [*keys, "seq"], "left").join(rows_end, list(keys), "left")
+    joined = (cells.join(places.hint("merge"), [*keys, "seq"], "left").join(rows_end, list(keys), "left")
               .filter(any_of("row IS NOT NULL", f"{_cell('text')} <> ''"))
               .select(*keys, F.expr("coalesce(row, _last + 1, 1)").alias("row"), F.col("seq").alias("col"), "text"))
     return table_rows(joined, *keys)

@@ -1,6 +1,7 @@
 """Cut lineage durably: a checkpoint in the folder the cluster names, so losing executors loses no work."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -8,9 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only when the session names none, as in tests."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    A session on one machine that names none, as in tests, gets a temporary folder; on a cluster that folder would not be
+    shared, so a missing setting is an error there.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-")
+    if base:
+        return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir is not set and {master} has no folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def durable(df: DataFrame) -> DataFrame:

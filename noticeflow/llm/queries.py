@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.mixing import mix
+from noticeflow.llm.simhash import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,11 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM t WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)"""
 
 
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), carry=["doc_id"])

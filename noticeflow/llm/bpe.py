@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.llm.common import packed, unpacked
@@ -288,7 +288,7 @@ def encode_documents(spark: SparkSession, df: DataFrame, ranks_path: str, patter
     return unpacked(rows.mapInArrow(run, schema), ids=F.col("_ids"), decoded=F.col("_decoded"))
 
 
-def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per row of :func:`encode_documents`: id, ``n_tokens`` and hashes of the ids and of the decoded bytes."""
-    return encoded.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def token_digests(encoded: DataFrame, ids: list[str], *more: Column) -> DataFrame:
+    """Per row of :func:`encode_documents`: the named columns, ``n_tokens``, hashes of the ids and of the decoded bytes."""
+    return encoded.select(*ids, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)

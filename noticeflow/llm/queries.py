@@ -5,8 +5,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from noticeflow.llm.bpe import encode_documents, token_digests
 from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.mixing import mix
+from noticeflow.llm.quality import quality
 from noticeflow.llm.simhash import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +39,11 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM t WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)"""
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), carry=["doc_id"])
@@ -43,3 +52,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(encode_documents(spark, table(spark, sf_dir, "documents"),
+                                          public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                                          carry=["doc_id"]), ["doc_id"])

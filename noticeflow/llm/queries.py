@@ -12,6 +12,7 @@ from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.mixing import mix
 from noticeflow.llm.quality import quality
 from noticeflow.llm.simhash import simhash_components
+from noticeflow.llm.winnowing import edit_likeness
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +55,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+@query
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_documents(spark, table(spark, sf_dir, "documents"),

@@ -12,6 +12,7 @@ from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.mixing import mix
 from noticeflow.llm.quality import quality
 from noticeflow.llm.simhash import simhash_components
+from noticeflow.llm.warc import archive_pages
 from noticeflow.llm.winnowing import edit_likeness
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_documents(spark, table(spark, sf_dir, "documents"),
                                           public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
                                           carry=["doc_id"]), ["doc_id"])
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                                               "refers_to")
+
+
+ORACLES["op10_warc"] = """
+WITH t AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+     d AS (SELECT page_id, cast(strlen(p) AS BIGINT) AS payload_bytes, sha256(p) AS payload_digest FROM t),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to FROM f"""

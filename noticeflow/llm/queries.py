@@ -4,11 +4,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from noticeflow.llm.bpe import encode_documents, token_digests
 from noticeflow.llm.exact_dedup import exact_dedup
+from noticeflow.llm.language import identify, profiles
 from noticeflow.llm.mixing import mix
 from noticeflow.llm.quality import quality
 from noticeflow.llm.simhash import simhash_components
@@ -61,6 +63,14 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"))
+    learned = profiles(docs.filter("not held_out"))
+    return identify(spark, docs, learned, carry=["doc_id", "held_out"])
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_documents(spark, table(spark, sf_dir, "documents"),

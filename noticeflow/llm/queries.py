@@ -14,6 +14,7 @@ from noticeflow.llm.language import identify, profiles
 from noticeflow.llm.mixing import mix
 from noticeflow.llm.quality import quality
 from noticeflow.llm.simhash import simhash_components
+from noticeflow.llm.substring_dedup import substring_dedup
 from noticeflow.llm.warc import archive_pages
 from noticeflow.llm.winnowing import edit_likeness
 
@@ -43,6 +44,12 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM t WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)"""
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])

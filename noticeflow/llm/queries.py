@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from noticeflow.llm.bpe import encode_documents, token_digests
+from noticeflow.llm.chat import perspectives
 from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.language import identify, profiles
 from noticeflow.llm.mixing import mix
@@ -70,6 +71,29 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = perspectives(table(spark, sf_dir, "conversations"))
+    return sides.select("conv_id", "perspective", "part", "n_turns", "text", F.expr(
+        "array_join(transform(spans, s -> concat(s.start, '-', s.end)), ',')").alias("mask"))
+
+
+ORACLES["op7_chat"] = """
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS body,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'),
+                                     coalesce(text, '')) - 1 AS pos FROM conversations),
+     p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+     r AS (SELECT t.conv_id, perspective, pos // 256 AS part, pos, role = perspective AS mine, body || '<|im_end|>' AS tail,
+                  '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
+                      ELSE 'user name=' || replace(replace(role, '<|', '< |'), chr(10), ' ') END || chr(10) AS head
+           FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+     o AS (SELECT *, sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY pos)
+                  - length(tail) - 1 AS s FROM r)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || tail || chr(10), '' ORDER BY pos) AS text,
+       coalesce(string_agg(CASE WHEN mine THEN s || '-' || (s + length(tail)) END, ',' ORDER BY pos), '') AS mask
+FROM o GROUP BY conv_id, perspective, part"""
+
+
 @query
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(

@@ -30,13 +30,13 @@ def packed(df: DataFrame, carry: list[str] | None, **columns: str) -> DataFrame:
     Inside an operator no column of the caller can then clash with one of the operator's own.
     """
     names = df.columns if carry is None else carry
-    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(None).cast("string").alias("_none"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(None).cast("string").alias("__no_columns__"))
     return df.select(row.alias("_row"), *[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
 
 
 def unpacked(df: DataFrame, **outputs: Column) -> DataFrame:
     """The carried columns and the operator's outputs; an output replaces a carried column of the same name."""
-    taken = {k.lower() for k in outputs} | {"_none"}
+    taken = {k.lower() for k in outputs} | {"__no_columns__"}
     names = [f.name for f in df.schema["_row"].dataType.fields if f.name.lower() not in taken]
     return df.select(*[F.col("_row").getField(c).alias(c) for c in names], *[v.alias(k) for k, v in outputs.items()])
 

@@ -20,6 +20,8 @@ from noticeflow.llm.common import join_split, packed, stored, unpacked
 
 #: Bytes of a gram, bytes that a task works on at a time, words of a Bloom filter at most (16 MB).
 GRAM, BLOCK, MOST_WORDS = 16, 1 << 20, 1 << 21
+#: Kinds of runs around a gram that are compared in one task; with more, their windows are dealt out.
+FEW = 512
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -53,7 +55,8 @@ class Block:
         self.length = length
         sizes = np.array([len(t) for t in texts], np.int64)
         self.first = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        self.data = b"".join(texts)
+        data = np.frombuffer(self.data, np.uint8)
         n = len(data)
         _Powers.to(n + 1)
         with np.errstate(over="ignore"):
@@ -88,12 +91,6 @@ class Block:
         with np.errstate(over="ignore"):
             return (self.sums[start + size] - self.sums[start]) * _Powers.down[start]
 
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(run, hash) of every window of the given runs."""
-        count = self.count[runs]
-        start = np.repeat(self.start[runs] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return np.repeat(runs, count), _mixed(self.hash(start, self.length))
-
 
 def blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[Block, list[bytes], np.ndarray]]:
     """Blocks of a batch with ``_key`` and ``_text``; each with the key of every piece of text and its offset.
@@ -161,9 +158,11 @@ def repeated_ranges(texts: DataFrame, length: int = 200) -> DataFrame:
        the corpus, with the least and greatest hash of the whole runs around them.
     2. A Bloom filter of the grams that occur twice lets about those runs through; they are joined with the exact counts.
        If all runs of a gram are equal, all their windows repeat.
-    3. Elsewhere (where a common passage begins, ends or differs) runs are compared window by window: one run of each kind
-       gives out its windows' hashes, those that occur twice repeat.  Runs are told apart by 64-bit hashes.
-    Only numbers are shuffled, 16 bytes for about every 90 bytes of text in the first step and far fewer after it.
+    3. Elsewhere (where a common passage begins, ends or differs) one run of each kind is compared window by window with
+       the others of its gram, in one task for a gram of few kinds, by a join of window hashes for a gram of many.  The
+       windows of a run overlap, so the first and the last one that repeat say what to remove.
+    Runs and windows are told apart by 64-bit hashes.  What is shuffled is 16 bytes for about every 90 bytes of text in the
+    first step, far less in the second, and the bytes around the places where copies begin to differ in the third.
     """
     spark = texts.sparkSession
 
@@ -187,34 +186,99 @@ def repeated_ranges(texts: DataFrame, length: int = 200) -> DataFrame:
 
     runs = stored(join_split(texts.mapInArrow(candidates, "_key binary, _at long, _no long, _count long, _g long, _w long"),
                              found, "_g").withColumn("_same", F.expr("_low = _high")).drop("_n", "_low", "_high"))
-    ranges = F.expr(f"_at * 1024 + _count + {length - 1}").alias("_range")
     kinds = stored(runs.filter("not _same").groupBy("_g", "_w").agg(F.count("*").alias("_n"), F.min("_no").alias("_no")))
-    equal = stored(kinds.filter("_n > 1").select("_w", "_g"))
-    both = F.xxhash64("_g", "_w").alias("_gw")
-    twins = join_split(runs.filter("not _same").select("_key", "_at", "_count", "_g", "_w", both),
-                       equal.select(both, F.col("_g").alias("_g2"), F.col("_w").alias("_w2")), "_gw").filter("_g = _g2 and _w = _w2")
     chosen = spark.sparkContext.broadcast(filter_words(kinds, "_no"))
+    many = spark.sparkContext.broadcast(filter_words(kinds.groupBy("_g").count().filter(F.col("count") > FEW), "_g"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, keys, offsets in blocks(batch, length):
-                every = np.arange(len(block.start))
-                _, _, number = _place(keys, block, offsets, every)
-                run, hashes = block.windows(np.flatnonzero(may_hold(chosen.value, number)))
-                if not len(run):
-                    continue
-                key, position, _ = _place(keys, block, offsets, run)
-                first = np.r_[True, run[1:] != run[:-1]]
-                nth = np.arange(len(run)) - np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
-                yield pa.RecordBatch.from_arrays([key, pa.array(position + nth), _signed(hashes)], names=["_key", "_at", "_h"])
-
-    single = stored(texts.mapInArrow(windows, "_key binary, _at long, _h long"))
-    again = single.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h")
-    pieces = (runs.filter("_same").select("_key", ranges).union(twins.select("_key", ranges))
-              .union(join_split(single, again, "_h").select("_key", F.expr(f"_at * 1024 + {length}").alias("_range"))))
+                _, _, number = _place(keys, block, offsets, np.arange(len(block.start)))
+                picked = np.flatnonzero(may_hold(chosen.value, number))
+                ends = block.start[picked] + block.count[picked] + length - 1
+                parts = [block.data[a:b] for a, b in zip(block.start[picked].tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(block.gram[picked]), _signed(block.whole[picked]), pa.array(parts, pa.binary()),
+                     pa.array(may_hold(many.value, block.gram[picked]))], names=["_g", "_w", "_part", "_many"])
+
+    around = stored(texts.mapInArrow(contexts, "_g long, _w long, _part binary, _many boolean"))
+    here = (around.filter("not _many").select("_g", "_w", "_part").repartition("_g").sortWithinPartitions("_g")
+            .mapInArrow(lambda rows: _compare(rows, length), MARKS))
+    windows = around.filter("_many").select("_g", "_w", "_part").mapInArrow(lambda rows: _windows(rows, length), MARKS + ", _h long")
+    again = windows.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h")
+    marks = here.unionByName(join_split(windows, again, "_h").drop("_h"))
+    marks = marks.groupBy("_g", "_w").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    whole = kinds.filter("_n > 1").select("_g", "_w", F.lit(0).alias("_first"), F.lit(length).alias("_last"))
+    both = F.xxhash64("_g", "_w").alias("_gw")
+    marks = stored(whole.unionByName(marks).groupBy("_g", "_w").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+                   .select(both, F.col("_g").alias("_g2"), F.col("_w").alias("_w2"), "_first", "_last"))
+    mixed = (join_split(runs.filter("not _same").select("*", both), marks, "_gw").filter("_g = _g2 and _w = _w2")
+             .withColumn("_last", F.least("_last", F.col("_count") - 1))
+             .select("_key", F.expr(f"(_at + _first) * 1024 + _last - _first + {length}").alias("_range")))
+    pieces = mixed.union(runs.filter("_same").select("_key", F.expr(f"_at * 1024 + _count + {length - 1}")))
     return pieces.groupBy("_key").agg(F.collect_set("_range").alias("_ranges"))
 
 
+MARKS = "_g long, _w long, _first int, _last int"
+
+
+def _windows_of(g: list[np.ndarray], w: list[np.ndarray], parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(gram, kind, place in its run, hash) of every window of some runs' bytes."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    _Powers.to(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(_Powers.bytes_[data] * _Powers.up[:len(data)], dtype=np.uint64)]
+        count = sizes - length + 1
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start = np.repeat(np.cumsum(sizes) - sizes, count) + nth
+        hashes = _mixed((sums[start + length] - sums[start]) * _Powers.down[start])
+    return np.repeat(np.concatenate(g), count), np.repeat(np.concatenate(w), count), nth, hashes
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2000):
+            part = batch.slice(i, 2000)
+            g, w, nth, hashes = _windows_of([part.column("_g").to_numpy()], [part.column("_w").to_numpy()],
+                                            part.column("_part").to_pylist(), length)
+            place = pa.array(nth.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(w), place, place, _signed(hashes)],
+                                             names=["_g", "_w", "_first", "_last", "_h"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """First and last repeated window of each kind, for a partition sorted by gram; whole grams are compared at a time."""
+    def close(g: list[np.ndarray], w: list[np.ndarray], parts: list[bytes]) -> pa.RecordBatch:
+        grams, kinds, nth, hashes = _windows_of(g, w, parts, length)
+        _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        twice = np.flatnonzero(counts[inverse] > 1)
+        grams, kinds, nth = grams[twice], kinds[twice], nth[twice]
+        edge = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (kinds[1:] != kinds[:-1]) | (nth[1:] <= nth[:-1])]
+                              if len(nth) else [])
+        last = np.r_[edge[1:], len(nth)] - 1 if len(edge) else edge
+        return pa.RecordBatch.from_arrays([pa.array(grams[edge]), pa.array(kinds[edge]), pa.array(nth[edge].astype(np.int32)),
+                                           pa.array(nth[last].astype(np.int32))], names=["_g", "_w", "_first", "_last"])
+
+    g, w, parts, size = [], [], [], 0
+    for batch in batches:
+        grams = batch.column("_g").to_numpy()
+        kinds, held = batch.column("_w").to_numpy(), batch.column("_part").to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(grams)) + 1).tolist(), len(grams)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if size >= BLOCK and g[-1][-1] != grams[a]:
+                yield close(g, w, parts)
+                g, w, parts, size = [], [], [], 0
+            g.append(grams[a:b])
+            w.append(kinds[a:b])
+            parts += held[a:b]
+            size += sum(map(len, held[a:b]))
+    if parts:
+        yield close(g, w, parts)
+
+
 def text_key() -> Column:
     """Half of a text's SHA-256: equal texts share a key, and are cut alike."""
     return F.expr("substring(unhex(sha2(_text, 256)), 1, 16)")

@@ -61,7 +61,9 @@ def substring_brute(texts, length):
     return out
 
 
-def test_substrings_equal_brute_force(make, edge_rows):
+@pytest.mark.parametrize("few", [512, 1])
+def test_substrings_equal_brute_force(make, edge_rows, monkeypatch, few):
+    monkeypatch.setattr("noticeflow.llm.substring_dedup.FEW", few)
     shared, edge = words(20, 60), words(21, 40)
     rows = [r for r in edge_rows if r[1] is None or len(r[1]) < 6000]
     rows += [(50 + i, words(30 + i, 20 + i) + shared[i * 7:] + words(60 + i, 30)) for i in range(12)]

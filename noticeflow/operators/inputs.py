@@ -25,7 +25,7 @@ def source_label(kind: str, payload: str, label: str = "null") -> str:
             f"WHEN {kind} = 'image' THEN '이미지' WHEN {kind} = 'text' THEN {line} ELSE '' END")
 
 
-def messages_to_inputs(messages: DataFrame, history_chars: int = 1200, channel: str = MESSAGE_LABEL) -> DataFrame:
+def messages_to_inputs(messages: DataFrame, history_chars: int | None = None, channel: str = MESSAGE_LABEL) -> DataFrame:
     """Messages with a title or body as input rows; relative dates count from the day of receipt."""
     rows = split_quotes(messages.filter(f"NOT ({is_blank('body')} AND {is_blank('title')})"))
     title = f"if({is_blank('title')}, '', concat(' — ', substring(title, 1, 20)))"
@@ -68,10 +68,14 @@ def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("error IS NULL").drop("error"), rows.filter("error IS NOT NULL")
 
 
-def cap_input(df: DataFrame, text: str = "text", images: str | None = None, max_chars: int = MAX_TEXT_CHARS,
-              max_images: int = MAX_IMAGES) -> DataFrame:
-    """Add ``capped``, ``n_images`` and ``warnings`` about what was cut."""
+def cap_input(df: DataFrame, text: str = "text", images: str | None = None, max_chars: int | None = None,
+              max_images: int | None = None) -> DataFrame:
+    """Add ``capped``, ``n_images`` and ``warnings`` about what was cut; without limits nothing is.
+
+    A model with a small window takes ``MAX_TEXT_CHARS`` and ``MAX_IMAGES``.
+    """
     n = f"coalesce({images}, 0)" if images else "0"
+    max_chars, max_images = (2**31 - 1 if m is None else m for m in (max_chars, max_images))
     long = f"if(length({text}) > {max_chars}, '텍스트가 길어 앞 {max_chars:,}자만 분석했습니다.', null)"
     many = f"if({n} > {max_images}, '이미지가 많아 앞 {max_images}장만 분석했습니다.', null)"
     return df.select("*", F.expr(f"substring(coalesce({text}, ''), 1, {max_chars})").alias("capped"),
@@ -79,12 +83,14 @@ def cap_input(df: DataFrame, text: str = "text", images: str | None = None, max_
                      F.expr(f"array_compact(array({long}, {many}))").alias("warnings"))
 
 
-def excerpt(text: str, chars: int = 1500, n_images: str = "0") -> str:
-    """Stripped text cut to ``chars``; '(이미지 n장 입력)' for image input; '' when disabled."""
-    if chars <= 0:
+def excerpt(text: str, chars: int | None = None, n_images: str = "0") -> str:
+    """Stripped text, cut to ``chars`` if given; '(이미지 n장 입력)' for image input; '' for 0."""
+    if chars is not None and chars <= 0:
         return "''"
     shown = let(strip(f"coalesce({text}, '')"), lambda t: (
         f"if({t} = '' AND {n_images} > 0, concat('(이미지 ', {n_images}, '장 입력)'), {t})"))
+    if chars is None:
+        return shown
     return let(shown, lambda t: (
         f"if(length({t}) > {chars}, concat({rstrip(f'substring({t}, 1, {chars})')}, {q(CUT_MARK)}), {t})"))
 

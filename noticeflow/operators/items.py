@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions.dates import at, parse_date, parse_time
 from noticeflow.functions.text import fn, let, once, strip
+from noticeflow.operators.neighbours import numbered
 
 RAW_FIELDS = ("title", "date", "time", "end_date", "end_time", "kind", "category", "location", "notes", "confidence")
 ITEM = ("struct<title:string,start:timestamp_ntz,end:timestamp_ntz,all_day:boolean,kind:string,category:string,"
@@ -15,24 +16,34 @@ ITEM_FIELDS = ("title", "start", "end", "all_day", "kind", "category", "location
                "confidence", "source", "undated", "source_text")
 
 
-def _trimmed(c: str, n: int) -> str:
-    return f"nullif(substring({strip(c)}, 1, {n}), '')"
+#: Lengths that a service may ask for; nothing is cut without them.
+SERVICE_LIMITS = {"title": 200, "category": 100, "location": 200, "notes": 2000, "reason": 200}
 
 
-def normalize(raw: str, ref: str, source: str = "''") -> str:
+def cut(c: str, n: int | None) -> str:
+    return c if n is None else f"substring({c}, 1, {n})"
+
+
+def _trimmed(c: str, n: int | None) -> str:
+    return f"nullif({cut(strip(c), n)}, '')"
+
+
+def normalize(raw: str, ref: str, source: str = "''", limits: dict[str, int] | None = None) -> str:
     """Item struct of a raw struct with ``RAW_FIELDS``; null when it has to be dropped.
 
     Without a date a task stays as an undated all-day item at ``ref`` (its place and time are lost), an event is
     dropped.  An end before the start is removed before all-day times are cut to midnight.
     """
+    limits = limits or {}
+
     def get(name: str) -> str:
         return f"{raw}.{name}"
 
     def common(kind: str) -> str:
-        return (f"'kind', {kind}, 'category', {_trimmed(get('category'), 100)}")
+        return (f"'kind', {kind}, 'category', {_trimmed(get('category'), limits.get('category'))}")
 
     def rest(location: str, undated: str) -> str:
-        return (f"'location', {location}, 'notes', {_trimmed(get('notes'), 2000)}, 'alarm_minutes', cast(null as int), "
+        return (f"'location', {location}, 'notes', {_trimmed(get('notes'), limits.get('notes'))}, 'alarm_minutes', cast(null as int), "
                 f"'confidence', least(greatest(coalesce({get('confidence')}, 0.8D), 0D), 1D), 'source', {source}, "
                 f"'undated', {undated}, 'source_text', ''")
 
@@ -50,7 +61,7 @@ def normalize(raw: str, ref: str, source: str = "''") -> str:
                 end_ok = f"if({se}.e < {se}.s, null, {se}.e)"
                 cut = f"if({p}.t IS NULL, cast(to_date({end_ok}) as timestamp_ntz), {end_ok})"
                 return (f"named_struct('title', {get('title')}, 'start', {se}.s, 'end', {cut}, 'all_day', {p}.t IS NULL, "
-                        f"{common(kind)}, {rest(_trimmed(get('location'), 200), 'false')})")
+                        f"{common(kind)}, {rest(_trimmed(get('location'), limits.get('location')), 'false')})")
 
             return let(f"named_struct('s', {start}, 'e', {end})", finish)
 
@@ -83,24 +94,13 @@ def dedupe_items(items: DataFrame, keys: list[str], pos: str = "pos") -> DataFra
     return first.select(*group, "_first.*").select(*items.columns)
 
 
-def order_items(items: DataFrame, keys: list[str], pos: str = "pos", block: int = 4096) -> DataFrame:
+def order_items(items: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """Add ``item_no``: dated items first, then by start, then by position.
 
-    Ranking is done per (input, undated, start, block of positions) and shifted by the number of rows in earlier
-    groups, so one large input is spread over tasks.
+    One large input is spread over tasks, whatever its starts (see :func:`numbered`).
     """
-    part = [*keys, "undated", "start", "_block"]
-    rows = items.withColumn("_block", F.floor(F.col(pos) / block))
-    sizes = rows.groupBy(*part).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("undated", "start", "_block").rowsBetween(
-        Window.unboundedPreceding, -1)
-    shifts = sizes.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*part).orderBy(pos)
-    ranked = rows.withColumn("_rn", F.row_number().over(inside))
-    null_safe = [ranked[c].eqNullSafe(shifts[c]) for c in part]
-    joined = ranked.join(shifts, null_safe, "inner")
-    return joined.select(*[ranked[c] for c in items.columns],
-                         (F.col("_rn") + F.col("_shift")).cast("int").alias("item_no"))
+    return numbered(items, keys, ["undated", "start", pos], "_at").select(
+        *items.columns, (F.col("_at") + 1).cast("int").alias("item_no"))
 
 
 def is_past(item: str, cutoff: str) -> str:
@@ -112,13 +112,9 @@ def drop_past(items: DataFrame, cutoff: str, keys: list[str], pos: str = "item_n
     """(kept items, per input: n_past and the first three past titles)."""
     past = f"NOT undated AND to_date(start) < {cutoff}"
     kept = items.filter(f"NOT ({past}) OR {cutoff} IS NULL")
-    gone = items.filter(past).select(*keys, F.struct(F.col(pos).alias("p"), F.substring("title", 1, 20).alias("t"))
-                                     .alias("x"))
-    # the three smallest positions per input, kept small on the map side
-    merge = fn(lambda xs: f"array_join(transform(slice(array_sort({xs}), 1, 3), {fn(lambda x: x + '.t')}), ', ')")
-    bucket = gone.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(64)))
-    top = Window.partitionBy(*keys, "_salt").orderBy("x.p")
-    firsts = (bucket.withColumn("_rn", F.row_number().over(top)).groupBy(*keys, "_salt")
-              .agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("_rn") <= 3, F.col("x"))).alias("xs")))
-    counts = firsts.groupBy(*keys).agg(F.sum("n").alias("n_past"), F.flatten(F.collect_list("xs")).alias("xs"))
-    return kept, counts.select(*keys, "n_past", F.expr(f"get(transform(array(xs), {merge}), 0)").alias("past_titles"))
+    gone = items.filter(past).select(*keys, pos, F.substring("title", 1, 20).alias("_t"))
+    # a filter on the rank keeps three rows a group and task before the shuffle
+    first = gone.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(pos))).filter("_rn <= 3")
+    titles = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_t"))), lambda x: x["_t"]),
+                                                   ", ").alias("past_titles"))
+    return kept, gone.groupBy(*keys).agg(F.count("*").alias("n_past")).join(titles, keys)

@@ -85,14 +85,20 @@ def split_quotes(df: DataFrame, body: str = "body") -> DataFrame:
     return once(df, split_recent(body))
 
 
-def message_text(title: str, sender: str, received: str, recent: str, older: str, history_chars: int = 1200) -> str:
-    """Text handed on for a message: title, sender, time, then the new part and a cut of the quoted one."""
+def message_text(title: str, sender: str, received: str, recent: str, older: str,
+                 history_chars: int | None = None) -> str:
+    """Text handed on for a message: title, sender, time, then the new part and the quoted one.
+
+    The quoted part is whole without ``history_chars``, cut to as many characters, or left out for 0.
+    """
     nl = q("\n")
     head = [f"if({is_blank(title)}, null, concat('제목: ', {strip(title)}))",
             f"if({is_blank(sender)}, null, concat('보낸 사람: ', {strip(sender)}))",
             f"concat('받은 시각: ', date_format({received}, 'yyyy-MM-dd HH:mm'))"]
     split_form = ["''", q(RECENT_HEAD), f"if({recent} = '', {q(NO_RECENT)}, {recent})"]
-    if history_chars > 0:
+    if history_chars is None:
+        split_form += ["''", q(HISTORY_HEAD), older]
+    elif history_chars > 0:
         cut = f"if(length({older}) > {history_chars}, {q(CUT_MARK)}, '')"
         split_form += ["''", q(HISTORY_HEAD), f"concat(substring({older}, 1, {history_chars}), {cut})"]
     return (f"if({older} <> '', concat_ws({nl}, {', '.join(head + split_form)}), "

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions.text import all_of, any_of, collapse_spaces, fn, is_blank, let, once, q, rlike, rx, strip
 from noticeflow.operators.inputs import excerpt
-from noticeflow.operators.items import ITEM, ITEM_FIELDS, RAW_FIELDS, is_past, normalize
+from noticeflow.operators.items import ITEM, ITEM_FIELDS, RAW_FIELDS, cut, is_past, normalize
 from noticeflow.operators.pii_mask import restore_text
 
 # ---- fixed values
@@ -20,7 +20,6 @@ REQUEST_CUE = (
 ROW_KEYS = ("items", "schedules", "events")
 SCOPES = ("relevant", "irrelevant", "ambiguous")
 NO_REASON = "(이유 없음)"
-MAX_TITLE = 200
 DEFAULT_CONFIDENCE = 0.8
 
 
@@ -83,7 +82,7 @@ def _rows(data: str) -> str:
         f"WHEN {t} LIKE 'ARRAY%' THEN try_variant_get({data}, '$', 'array<variant>') ELSE {none} END"))
 
 
-def _raw(row: str) -> str:
+def _raw(row: str, limits: dict[str, int]) -> str:
     """Raw item struct of a row, null when the row does not fit: no object, no title, or a wrong type."""
     def field(name: str) -> tuple[str, str]:
         t = _kind(f"try_variant_get({row}, '$.{name}', 'variant')")
@@ -99,7 +98,7 @@ def _raw(row: str) -> str:
                   f"ELSE {conf_text} END")
     title_kind = _kind(f"try_variant_get({row}, '$.title', 'variant')")
     title_text = f"try_variant_get({row}, '$.title', 'string')"
-    title = f"substring({collapse_spaces(title_text)}, 1, {MAX_TITLE})"
+    title = cut(collapse_spaces(title_text), limits.get("title"))
 
     def build(tc: str) -> str:
         ok = all_of(f"{_kind(row)} LIKE 'OBJECT%'", f"{title_kind} = 'STRING'", f"{tc}.t <> ''",
@@ -127,9 +126,10 @@ def _distinct_sorted(items: str) -> str:
     return let(f"transform({items}, {key})", first)
 
 
-def items_of(data: str, ref: str, source: str) -> str:
+def items_of(data: str, ref: str, source: str, limits: dict[str, int] | None = None) -> str:
     """struct<items: array, skipped: int> of parsed JSON."""
-    each = fn(lambda row: let(_raw(row), lambda raw: f"if({raw} IS NULL, null, {normalize(raw, ref, source)})"))
+    limits = limits or {}
+    each = fn(lambda row: let(_raw(row, limits), lambda raw: f"if({raw} IS NULL, null, {normalize(raw, ref, source, limits)})"))
 
     def split(made: str) -> str:
         good = let(f"array_compact({made})", _distinct_sorted)
@@ -141,7 +141,7 @@ def items_of(data: str, ref: str, source: str) -> str:
     return f"if({data} IS NULL, {none}, {made})"
 
 
-def _scope(data: str) -> str:
+def _scope(data: str, most: int | None = None) -> str:
     """struct<scope, reason>; anything but the three values counts as relevant."""
     def text(key: str) -> str:
         return strip(f"coalesce(try_variant_get({data}, '$.{key}', 'string'), '')")
@@ -149,20 +149,21 @@ def _scope(data: str) -> str:
     names = ", ".join(q(s) for s in SCOPES)
     return let(f"lower({text('scope')})", lambda s: (
         f"named_struct('scope', if({s} IN ({names}), {s}, 'relevant'), "
-        f"'reason', substring({text('scope_reason')}, 1, 200))"))
+        f"'reason', {cut(text('scope_reason'), most)})"))
 
 
 def parse_responses(responses: DataFrame, raw: str = "raw", ref: str = "reference_date", source: str = "source", *,
                     drop_before: str = "cast(null as date)", persona: str = "''", skip_irrelevant: str = "true",
                     mapping: str = "cast(null as map<string,string>)", text: str = "''", n_images: str = "0",
-                    source_chars: int = 1500) -> DataFrame:
+                    source_chars: int | None = None, limits: dict[str, int] | None = None) -> DataFrame:
     """One row per response: ``error``, ``items``, ``skipped``, ``n_past``, ``scope``, ``scope_reason``, ``warnings``.
 
     Order of work: items, past items out, tokens restored, excerpt attached, scope applied.  All options are SQL
-    expressions over the input row; scope only counts when a persona is given.
+    expressions over the input row; scope only counts when a persona is given.  ``limits`` (such as ``SERVICE_LIMITS``) cuts
+    titles, categories, places, notes and reasons; nothing is cut without it.
     """
     df = once(responses, f"named_struct('_data', {let(f'coalesce({raw}, {q(str())})', extract_json)})")
-    df = once(df, items_of("_data", ref, source), _scope("_data"))
+    df = once(df, items_of("_data", ref, source, limits), _scope("_data", (limits or {}).get("reason")))
 
     past = f"filter(items, {fn(lambda i: is_past(i, drop_before))})"
     titles = f"array_join(transform(slice(_past, 1, 3), {fn(lambda i: f'substring({i}.title, 1, 20)')}), ', ')"

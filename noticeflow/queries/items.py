@@ -70,10 +70,10 @@ def row_validation(spark: SparkSession, sf: str) -> DataFrame:
 @query("date_parsing", """
 WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 8 AS k FROM orders)
 SELECT o_orderkey, CASE WHEN k < 4 THEN strftime(d, '%Y-%m-%d')
-       WHEN k IN (4, 5) THEN CASE WHEN month(d) = 2 AND day(d) = 29 THEN '2028-02-29'
+       WHEN k IN (4, 5) THEN CASE WHEN month(d) = 2 AND day(d) = 29 THEN '2000-02-29'
             WHEN make_date(1999, month(d), day(d)) >= DATE '1999-06-15' - 30 THEN '1999-' || strftime(d, '%m-%d')
             ELSE '2000-' || strftime(d, '%m-%d') END ELSE '' END AS date
-FROM o WHERE NOT (k IN (4, 5) AND month(d) = 2 AND day(d) = 29)
+FROM o
 """)
 def date_parsing(spark: SparkSession, sf: str) -> DataFrame:
     text = ("CASE o_orderkey % 8 WHEN 0 THEN date_format(d, 'yyyy-MM-dd') WHEN 1 THEN date_format(d, 'yyyy.M.d') "
@@ -81,8 +81,7 @@ def date_parsing(spark: SparkSession, sf: str) -> DataFrame:
             "WHEN 3 THEN date_format(d, 'yyyy/MM/dd') WHEN 4 THEN date_format(d, 'M/d') "
             "WHEN 5 THEN concat(date_format(d, 'M'), '월 ', date_format(d, 'd'), '일') "
             "WHEN 6 THEN concat(date_format(d, 'yyyy'), '-02-30') ELSE '언젠가' END")
-    rows = table(spark, sf, "orders").selectExpr("o_orderkey", "to_date(o_orderdate) AS d").filter(
-        "NOT (o_orderkey % 8 IN (4, 5) AND month(d) = 2 AND day(d) = 29)")
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey", "to_date(o_orderdate) AS d")
     reference = "date'1999-06-15'"
     return rows.selectExpr("o_orderkey", f"{text} AS s").selectExpr(
         "o_orderkey", f"coalesce(string({parse_date('s', reference)}), '') AS date")
@@ -157,13 +156,14 @@ def item_deduplication(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("item_order", """
 SELECT title, pos, row_number() OVER (PARTITION BY title ORDER BY undated, start, pos) AS item_no
-FROM (SELECT DISTINCT l_returnflag AS title, date_trunc('month', l_shipdate) AS start, l_quantity < 10 AS undated,
+FROM (SELECT DISTINCT l_returnflag AS title, l_shipdate + INTERVAL (l_partkey) SECOND AS start, l_quantity < 10 AS undated,
              l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS pos FROM lineitem)
 """)
 def item_order(spark: SparkSession, sf: str) -> DataFrame:
     """Three inputs hold all rows, so the ranking has to be spread over tasks."""
-    rows = table(spark, sf, "lineitem").selectExpr(*_LINES[1:3], *_LINES[4:]).distinct()
-    return I.order_items(rows, ["title"], block=1_000_000_000).select("title", "pos", "item_no")
+    rows = table(spark, sf, "lineitem").selectExpr(
+        "l_returnflag AS title", "l_shipdate + make_dt_interval(0, 0, 0, l_partkey) AS start", *_LINES[4:]).distinct()
+    return I.order_items(rows, ["title"]).select("title", "pos", "item_no")
 
 
 @query("past_items", """
@@ -293,13 +293,11 @@ def completion_hook(spark: SparkSession, sf: str) -> DataFrame:
 @query("requests_to_items", """
 SELECT key AS input_id, title, notes, warnings FROM (
   SELECT 'coolm:' || (conv_id * 1000 + turn) AS key, '상담 ' || role AS title, '번호 010-1234-5678' AS notes,
-         '🔒 개인정보 1곳을 가리고 AI에 보냈어요 (전화 1)' AS warnings FROM conversations WHERE length(text) < 2000 AND text NOT LIKE '%@%'
-         AND NOT regexp_matches(text, '[0-9]'))
+         '🔒 개인정보 1곳을 가리고 AI에 보냈어요 (전화 1)' AS warnings FROM conversations)
 """)
 def requests_to_items(spark: SparkSession, sf: str) -> DataFrame:
     """Messages to masked prompts, an answer that repeats a token, and items with the token restored."""
-    chat = table(spark, sf, "conversations").filter("length(text) < 2000 AND NOT contains(text, '@') AND NOT text RLIKE '[0-9]'")
-    inputs = chat.selectExpr(
+    inputs = table(spark, sf, "conversations").selectExpr(
         "concat('coolm:', conv_id * 1000 + turn) AS input_id", "'coolm' AS kind", "concat(text, '\\n번호 010-1234-5678') AS text",
         "concat('쿨메신저: ', role) AS source_label", "date'2026-06-08' AS reference_date")
     asked = paths.build_requests(inputs)

@@ -49,7 +49,7 @@ WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_s
      t AS (SELECT doc_id, n, trim(raw, {BLANKS}) AS s FROM p)
 SELECT doc_id, md5(coalesce(string_agg(CASE WHEN length(s) >= 20 THEN '[p.' || n || ']' || chr(10) || s END,
                                        chr(10) || chr(10) ORDER BY n), '')) AS text_md5,
-       coalesce(array_to_string(list_slice(list(n ORDER BY n) FILTER (WHERE length(s) < 20), 1, 10), ','), '') AS scans
+       coalesce(array_to_string(list_slice(list(n ORDER BY n) FILTER (WHERE length(s) < 20), 1, 1000000), ','), '') AS scans
 FROM t GROUP BY doc_id
 """)
 def page_stitching(spark: SparkSession, sf: str) -> DataFrame:

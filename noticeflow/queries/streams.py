@@ -42,10 +42,36 @@ def polled_messages(spark: SparkSession, sf: str) -> DataFrame:
     return polling.after_key(raw, max(key, again)).select("key", "sender", "title")
 
 
-@query("delivered_once", "SELECT event_id AS key FROM events")
+def message_files(spark: SparkSession, raw: DataFrame, n: int) -> str:
+    """The store as ``n`` files of a folder and once more as ``n`` other ones, so that copies come in other batches."""
+    out = shared_folder(spark)
+    for copy in range(2):
+        raw.repartition(n, F.hash("MessageKey", F.lit(copy))).write.mode("append").parquet(f"{out}/messages")
+    return f"{out}/messages"
+
+
+@query("delivered_once", f"""
+WITH {STORE} SELECT key FROM store WHERE NOT deleted AND NOT bad
+""")
 def delivered_once(spark: SparkSession, sf: str) -> DataFrame:
-    twice = stream_of(spark, sf, "events").selectExpr("event_id AS key", "ts AS received", "explode(array(1, 2)) AS n").drop("n")
-    return drained(polling.deliver_once(twice)).select("key")
+    """Copies across micro-batches; receive dates span years and come in any order, and none is dropped as late."""
+    raw = raw_messages(spark, sf)
+    stream = polling.read_messages(spark, message_files(spark, raw, 3), raw.schema, max_files=2)
+    return drained(polling.deliver_once(polling.after_key(stream, -1)).select("key"))
+
+
+@query("polled_stream", f"""
+WITH {STORE} SELECT CAST(key AS VARCHAR) AS origin FROM store WHERE NOT deleted AND NOT bad AND key > (SELECT max(key) // 2 FROM store)
+""")
+def polled_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The poll path as a stream: start key stored at the first run, files admitted a few a batch, copies across batches."""
+    raw = raw_messages(spark, sf)
+    old = raw.filter(F.col("MessageKey") <= raw.agg(F.floor(F.max("MessageKey") / 2)).scalar())
+    state = f"{shared_folder(spark)}/start"
+    polling.start_key(spark, old, state)
+    stream = polling.read_messages(spark, message_files(spark, raw, 3), raw.schema, max_files=2)
+    inputs = polling.stream_inputs(stream, polling.start_key(spark, raw, state))
+    return drained(inputs.select("origin_ref")).select(F.col("origin_ref").alias("origin"))
 
 
 @query("forced_fetch", f"""
@@ -53,13 +79,25 @@ WITH {STORE}, latest AS (SELECT * FROM store WHERE NOT deleted ORDER BY key DESC
 SELECT key, 'unread' AS mode FROM (SELECT key FROM latest WHERE is_unread = 1 AND NOT bad ORDER BY key DESC LIMIT 5)
 UNION ALL SELECT key, 'newest' FROM (SELECT key FROM latest WHERE NOT bad ORDER BY key DESC LIMIT 1)
 UNION ALL SELECT key, 'after' FROM (SELECT * FROM store WHERE NOT deleted AND key > 77 ORDER BY key LIMIT 20) WHERE NOT bad
+UNION ALL SELECT key, CASE WHEN rn <= 60 THEN 'past unreadable' ELSE 'all the rest' END
+FROM (SELECT *, row_number() OVER (ORDER BY key) AS rn FROM store WHERE NOT deleted AND key > 77) WHERE NOT bad AND key > 120
 """)
 def forced_fetch(spark: SparkSession, sf: str) -> DataFrame:
     raw = raw_messages(spark, sf)
     read = raw.withColumn("IsUnRead", F.lit(0))
     modes = ((raw, 0, "unread"), (read, 0, "newest"), (raw, 77, "after"))
-    parts = [polling.fetch_now(df, key).select("key", F.lit(mode).alias("mode")) for df, key, mode in modes]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [polling.fetch_now(df, key, 20)[0].select("key", F.lit(mode).alias("mode")) for df, key, mode in modes]
+    broken = raw.withColumn("ReceiveDate", F.when(F.col("MessageKey").between(78, 120), "soon").otherwise(F.col("ReceiveDate")))
+    last = 77
+    for _ in range(3):
+        rows, mark = polling.fetch_now(broken, last, 20)
+        last = mark.first()["last_key"]
+        parts.append(rows.select("key", F.lit("past unreadable").alias("mode")))
+    parts.append(polling.fetch_now(broken, last)[0].select("key", F.lit("all the rest").alias("mode")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 _POLLS = ("user_id AS source", "event_id AS seq", "CASE event_type WHEN 'error' THEN 'no folder' WHEN 'view' THEN 'no file' "
@@ -79,7 +117,15 @@ def repeated_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("repeated_errors_stream", _SUPPRESSED)
 def repeated_errors_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return drained(errors.suppress_repeats_stream(stream_of(spark, sf, "events").selectExpr(*_POLLS)))
+    """Several micro-batches of the events in order, so that a source's last outcome crosses from one to the next."""
+    out = shared_folder(spark)
+    events = table(spark, sf, "events")
+    top = events.agg(F.max("event_id")).scalar()
+    for q in range(4):    # one write after the other, as files of a stream are read by their age
+        events.filter(F.floor(F.col("event_id") * 4 / (top + 1)) == q).coalesce(1).write.mode("append").parquet(f"{out}/events")
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/events").selectExpr(*_POLLS))
+    errors.suppress_repeats_stream(stream, f"{out}/fresh", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/fresh").select("source", "seq", "error")
 
 
 @query("dead_letters", """

@@ -69,8 +69,9 @@ def decode_text(df: DataFrame, content: str = "content", out: str = "text") -> D
         return df.select("*", F.expr(f"if(is_valid_utf8({utf8}), {no_bom}, {korean})").alias(out))
 
 
-def stitch_pages(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, text, scan_pages): pages with text joined under '[p.N]', the first ten without text kept as scans."""
+def stitch_pages(pages: DataFrame, doc: str = "doc_id", max_scans: int | None = None) -> DataFrame:
+    """(doc, text, scan_pages): pages with text joined under '[p.N]', those without text (the first ``max_scans``, if given)
+    kept as scans."""
     stripped = pages.select(doc, "page_no", F.expr(strip("coalesce(text, '')")).alias("t"))
     whole = stripped.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page_no", "t"))).alias("ps"))
     texts = f"filter(ps, {fn(lambda p: f'length({p}.t) >= {MIN_PAGE_CHARS}')})"
@@ -79,7 +80,7 @@ def stitch_pages(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     number = fn(lambda p: f"{p}.page_no")
     return whole.select(
         doc, F.expr(f"array_join(transform({texts}, {page}), '\\n\\n')").alias("text"),
-        F.expr(f"slice(transform({scans}, {number}), 1, {MAX_SCAN_PAGES})").alias("scan_pages"))
+        F.expr(f"slice(transform({scans}, {number}), 1, {2**31 - 1 if max_scans is None else max_scans})").alias("scan_pages"))
 
 
 def _cell(text: str) -> str:

@@ -45,7 +45,7 @@ def _stored(raw: DataFrame) -> DataFrame:
     return raw.filter("DeletedDate IS NULL") if "DeletedDate" in raw.columns else raw
 
 
-def messages_after(raw: DataFrame, key: int, limit: int | None = 50) -> DataFrame:
+def messages_after(raw: DataFrame, key: int, limit: int | None = None) -> DataFrame:
     """Messages with a larger key, oldest first; without a limit the scan stays fully parallel."""
     rows = _stored(raw).filter(F.col("MessageKey") > F.lit(key))
     if limit is not None:

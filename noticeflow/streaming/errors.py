@@ -1,15 +1,14 @@
 """Repeated errors are reported once; failing inputs go to a dead-letter table and the stream goes on."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from noticeflow.operators.inputs import route, split_errors
 from noticeflow.operators.neighbours import neighbour
+from noticeflow.plans.durable import durable
 from noticeflow.sources.sinks import write_batch
 
 BLOCK = 65_536
@@ -22,36 +21,41 @@ def suppress_repeats(polls: DataFrame, source: str = "source", seq: str = "seq",
     return with_before.filter("_e <> '' AND _e <> coalesce(_before, '')").select(*polls.columns)
 
 
-def suppress_repeats_stream(polls: DataFrame, source: str = "source", seq: str = "seq",
-                            error: str = "error") -> DataFrame:
-    """The same for a stream: the last outcome per source is the only state.
+def suppress_repeats_stream(polls: DataFrame, path: str, checkpoint: str, source: str = "source", seq: str = "seq",
+                            error: str = "error"):
+    """The same for a stream, as a writer to ``path``; the last outcome of each source is all that is kept between batches.
 
-    A micro-batch holds a bounded number of polls per source (see the reader's admission limit).
+    A batch is compared inside with built-in functions, in blocks of a source; only the first row of a source meets the
+    outcome that the batch before has stored.  A replayed batch starts from the same stored outcomes and replaces its rows.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in polls.schema}
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values(seq)
-        texts = rows[error].fillna("")
-        fresh = (texts != "") & (texts != texts.shift(1, fill_value=last))
-        state.update((texts.iloc[-1],))
-        yield rows.loc[fresh, [source, seq, error]]
+    def batch(df: DataFrame, batch_id: int) -> None:
+        spark, kept = df.sparkSession, f"{path}_outcomes"
+        rows = durable(neighbour(df.select(source, seq, error).withColumn("_e", F.coalesce(error, F.lit(""))), [source], seq, "_e",
+                                 f"floor({seq} / {BLOCK})", "_before"))
+        ends = rows.groupBy(source).agg(F.max_by("_e", seq).alias("_last"))
+        if batch_id:
+            known = spark.read.parquet(f"{kept}/batch_id={batch_id - 1}")
+            rows = rows.join(known.withColumnRenamed("_last", "_known"), source, "left")
+            ends = known.join(ends, source, "left_anti").unionByName(ends)
+        else:
+            rows = rows.withColumn("_known", F.lit(None).cast("string"))
+        fresh = rows.filter("_e <> '' AND _e <> coalesce(_before, _known, '')").select(source, seq, error)
+        ends.write.mode("overwrite").parquet(f"{kept}/batch_id={batch_id}")
+        write_batch(fresh, path, batch_id)
 
-    schema = f"{source} {kinds[source]}, {seq} {kinds[seq]}, {error} string"
-    return polls.groupBy(source).applyInPandasWithState(
-        step, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+    return polls.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
 def process_inputs(inputs: DataFrame, work: Callable[[DataFrame], DataFrame], results_path: str, dead_path: str,
                    checkpoint: str):
     """Stream writer: every input is handled on its own; rows with an error become dead letters.
 
-    ``work`` maps good inputs to results and marks its own failures in an ``error`` column, if it has one.
+    ``work`` maps good inputs to results and marks its own failures in an ``error`` column, if it has one.  Its result is
+    made durable before it is split, so that it runs once a batch and an input ends in one of the two tables.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
         good, bad = split_errors(route(df))
-        done = work(good.drop("parser"))
+        done = durable(work(good.drop("parser")))
         dead = bad.select("input_id", "error")
         if "error" in done.columns:
             dead = dead.unionByName(done.filter("error IS NOT NULL").select("input_id", "error"))

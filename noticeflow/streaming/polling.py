@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from noticeflow.operators.inputs import messages_to_inputs
-from noticeflow.sources.messages import latest_messages, messages_after, require_columns, to_messages
+from noticeflow.sources.messages import (latest_key, latest_messages, messages_after, require_columns,
+                                         to_messages)
 
 # ---- fixed values
 DEFAULT_POLL_SECONDS, MIN_POLL_SECONDS = 30, 5
@@ -41,29 +42,38 @@ def after_key(raw: DataFrame, key: int) -> DataFrame:
     return to_messages(require_columns(alive).filter(F.col("MessageKey") > F.lit(key)))
 
 
-def deliver_once(messages: DataFrame, key: str = "key", received: str = "received", delay: str = "1 day") -> DataFrame:
-    """Each key once; state is dropped a ``delay`` after the event time.
+def deliver_once(messages: DataFrame, key: str = "key", delay: str = "7 days") -> DataFrame:
+    """Each key once, however old its own date is.
 
-    The watermark needs a TIMESTAMP, so only this column is cast.
+    The watermark runs on the time of arrival (the clock of the micro-batch), so no message is ever late; the state keeps a
+    key for ``delay`` after its arrival and drops the copies that come within it.
     """
-    timed = messages.withColumn(received, F.col(received).cast("timestamp"))
-    return timed.withWatermark(received, delay).dropDuplicatesWithinWatermark([key])
+    arrived = messages.withColumn("_arrived", F.current_timestamp())
+    return arrived.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
 
-def stream_inputs(raw: DataFrame, key: int, history_chars: int = 1200) -> DataFrame:
+def stream_inputs(raw: DataFrame, key: int, history_chars: int | None = None) -> DataFrame:
     """Raw message stream to input rows."""
-    once = deliver_once(after_key(raw, key))
-    return messages_to_inputs(once.withColumn("received", F.col("received").cast("timestamp_ntz")), history_chars)
+    return messages_to_inputs(deliver_once(after_key(raw, key)), history_chars)
 
 
-def fetch_now(raw: DataFrame, last_key: int) -> DataFrame:
-    """Forced fetch: after the key, or, when nothing was handled yet, up to five unread of the newest twenty, else the
-    newest one; oldest first."""
+def fetch_now(raw: DataFrame, last_key: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Forced fetch: (messages, mark).
+
+    Messages after the key (the first ``limit`` rows of the store, if given), or, when nothing was handled yet, up to five
+    unread of the newest twenty, else the newest one; oldest first.  ``mark`` is one row ``last_key`` with the key to go on
+    from: the largest that was looked at, so that rows with unreadable dates are passed over and never block.
+    """
     if last_key:
-        return messages_after(raw, last_key, MAX_PER_POLL)
+        seen = require_columns(raw).filter(F.col("MessageKey") > F.lit(last_key))
+        if limit is not None:
+            alive = seen.filter("DeletedDate IS NULL") if "DeletedDate" in raw.columns else seen
+            seen = alive.orderBy("MessageKey").limit(limit)
+        mark = seen.agg(F.coalesce(F.max("MessageKey"), F.lit(last_key)).cast("bigint").alias("last_key"))
+        return messages_after(raw, last_key, limit), mark
     latest = latest_messages(raw, FORCED_LATEST)
     unread = latest.filter("is_unread").orderBy(F.desc("key")).limit(FORCED_UNREAD)
     newest = latest.orderBy(F.desc("key")).limit(1)
     any_unread = unread.agg(F.count("*").alias("_n"))
     fallback = newest.filter(any_unread.scalar() == 0)
-    return unread.unionByName(fallback).orderBy("key")
+    return unread.unionByName(fallback).orderBy("key"), latest_key(raw).withColumnRenamed("latest_key", "last_key")

@@ -4,88 +4,87 @@ from pyspark.sql import functions as F
 from noticeflow.operators import pii_detect as D
 from noticeflow.operators import pii_mask as M
 
-LONG = ("담당: 김민수 (010-1234-5678, kim@school.kr) 문의. 주민번호 900101-1234568.\n2학년 3반 학생 명단 제출. 홍길동 선생님께 회신. "
-        "비밀번호: abcd1234 접속. 주소: 서울특별시 관악구 봉천로 12 (2층)")
+MEMO = ("창고 열쇠는 오세훈 과장님께. 연락처 010-9876-5432 또는 depot.desk@freight.example, 팩스 없음.\n"
+        "비밀번호: q9!zx77 재발급. 다시 오세훈 과장님께 확인.")
 CASES = {
-    LONG: "담당: [이름1] ([전화1], [이메일1]) 문의. 주민번호 [주민번호1].\n2학년 [반1] 학생 명단 제출. [이름2] 선생님께 회신. 비밀번호: [비밀값1] "
-          "접속. 주소: [주소1]",
-    "주민번호 900101-1234567": "주민번호 900101-1234567",
-    "김민수 선생님, 김민수 선생님께 010-1111-2222 로. 3교시 수업은 7-2 문제 풀이.":
-        "[이름1] 선생님, [이름1] 선생님께 [전화1] 로. 3교시 수업은 7-2 문제 풀이.",
-    "체육 선생님과 2학년 선생님께 안내. 박지훈 부장님, 최유나 교감선생님이 참석.":
-        "체육 선생님과 2학년 선생님께 안내. [이름1] 부장님, [이름2] 교감선생님이 참석.",
-    "학번\n이름\n전화번호\n20315\n박서연\n010-2222-3333\n": "학번\n이름\n전화번호\n[학번1]\n[이름1]\n[전화1]\n",
-    "학생 박서연(학번 20315) 상담. 담임 김민수 선생님, 보호자 최민철 님께 안내.":
-        "학생 [이름1](학번 [학번1]) 상담. 담임 [이름2] 선생님, 보호자 [이름3] 님께 안내.",
-    "회신은 kim@school.kr 로 주세요.": "회신은 [이메일1] 로 주세요.",
-    "담임 남궁민수 선생님": "담임 [이름1] 선생님",
-    "저(황보라)가 담당합니다": "저([이름1])가 담당합니다",
-    "일정 없는 평범한 문장": "일정 없는 평범한 문장",
+    MEMO: "창고 열쇠는 [이름1] 과장님께. 연락처 [전화1] 또는 [이메일1], 팩스 없음.\n비밀번호: [비밀값1] 재발급. 다시 [이름1] 과장님께 확인.",
+    "a@b.example, c@d.example, a@b.example": "[이메일1], [이메일2], [이메일1]",
+    "010-2000-3000/010-2000-3000": "[전화1]/[전화1]",
+    "번호 없이 물류 일정만 적은 줄": "번호 없이 물류 일정만 적은 줄",
+    "5-3 문제와 2교시": "5-3 문제와 2교시",
     "": "",
-    "표시 ﷐ 안의 a@b.co 와 ﷑": "표시 ﷐ 안의 [이메일1] 와 ﷑",
+    "끝 표시 ﷐﷑ 사이 x@y.example": "끝 표시 ﷐﷑ 사이 [이메일1]",
+    "😀 m@n.example 😀 m@n.example": "😀 [이메일1] 😀 [이메일1]",
 }
 
 
+def resident_number(head: str) -> str:
+    """Thirteen digits with the right check digit, from the first twelve."""
+    weights = [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5]
+    return head + str((11 - sum(int(d) * w for d, w in zip(head, weights)) % 11) % 10)
+
+
+def masked(spark, texts, **which):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    return M.audit(M.mask(df, **which)).orderBy("id").collect()
+
+
 def test_masking_and_round_trip(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(CASES)], "id int, text string")
-    rows = {r.id: r for r in M.audit(M.mask(df)).collect()}
-    for i, (text, masked) in enumerate(CASES.items()):
-        assert rows[i].masked == masked
-        assert rows[i].round_trip and M.TOKEN
-        starts = [(s.start, s.end) for s in rows[i].spans]
-        assert starts == sorted(starts) and all(a[1] <= b[0] for a, b in zip(starts, starts[1:]))
-        assert all(text[s.start:s.end] == s.value for s in rows[i].spans)
-
-
-@pytest.mark.parametrize("text", ["교사 연수 안내", "학생 명단 제출", "학생 안전 교육", "학생 성적 처리", "선생님 여러분께", "학생회 임원 선발",
-                                  "연락처 010-1111-2222"])
+    for row, (text, want) in zip(masked(spark, CASES), CASES.items()):
+        assert row.masked == want
+        assert row.round_trip
+        places = [(s.start, s.end) for s in row.spans]
+        assert places == sorted(places) and all(a[1] <= b[0] for a, b in zip(places, places[1:]))
+        assert all(text[s.start:s.end] == s.value for s in row.spans)
+
+
+def test_resident_numbers_need_their_check_digit(spark):
+    good = resident_number("851117204613")
+    bad = good[:-1] + str((int(good[-1]) + 1) % 10)
+    rows = masked(spark, [f"번호 {n[:6]}-{n[6:]} 끝" for n in (good, bad)])
+    assert rows[0].masked == "번호 [주민번호1] 끝" and rows[1].n_masked == 0
+
+
+@pytest.mark.parametrize("text", ["부서 회식 안내", "회의 자료 제출", "예산 담당 회의", "문서 번호 2024-118", "연락처 010-7777-8888"])
 def test_common_words_are_no_names(spark, text):
-    assert "[이름" not in M.mask(spark.createDataFrame([(text,)], "text string")).first().masked
+    assert "[이름" not in masked(spark, [text])[0].masked
 
 
 def test_long_text_with_many_spans_is_cut_exactly(spark):
-    text = " ".join(f"u{i % 700}@x{i}.org 김😀 10.0.{i % 200}.1" for i in range(3000))
-    row = M.audit(M.mask(spark.createDataFrame([(text,)], "text string"))).first()
+    text = " ".join(f"u{i % 700}@x{i}.example 김😀 10.0.{i % 200}.1" for i in range(3000))
+    row = masked(spark, [text])[0]
     assert row.n_masked == 6000 and row.round_trip
     assert len(row.mapping) == 3200
 
 
 def test_restore_leaves_unknown_tokens_and_values_alone(spark):
-    df = spark.createDataFrame([("[이름1]에게 [전화1]로 [이름7]", {"[이름1]": "김[전화1]", "[전화1]": "010"}), (None, None)],
+    df = spark.createDataFrame([("[이메일2]와 [전화1], [이메일9]", {"[이메일2]": "x[전화1]", "[전화1]": "119"}), (None, None)],
                                "text string, mapping map<string,string>")
     got = [r[0] for r in df.selectExpr(M.restore_text("text", "mapping")).collect()]
-    assert got == ["김[전화1]에게 010로 [이름7]", None]
+    assert got == ["x[전화1]와 119, [이메일9]", None]
 
 
 def test_text_holding_a_token_shows_as_not_restored(spark):
-    row = M.audit(M.mask(spark.createDataFrame([("[이메일1] a@b.co",)], "text string"))).first()
+    row = masked(spark, ["[전화1] 010-5555-6666"])[0]
     assert row.n_masked == 1 and not row.round_trip
 
 
 def test_no_python_in_masking_plans(spark):
-    df = spark.createDataFrame([("x",)], "text string")
-    plan = M.audit(M.mask(df))._jdf.queryExecution().executedPlan().toString()
+    plan = M.audit(M.mask(spark.createDataFrame([("x",)], "text string")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert plan.count("Generate") == 1
 
 
 def test_model_spans_join_rule_spans(spark):
-    df = spark.createDataFrame([("나리 a@b.co",)], "text string").withColumn("found", F.expr(
-        "array(named_struct('label', 'private_person', 'start', 0, 'end', 2, 'score', 0.5D), "
-        "named_struct('label', 'private_email', 'start', 3, 'end', 5, 'score', 0.9D))"))
-    row = M.mask(df, extra_spans=D.model_spans("text", "found")).first()
-    assert row.masked == "[이름1] [이메일1]"      # the rule's e-mail wins over the model's shorter one
-
-
-@pytest.mark.parametrize("n", [0, 599, 600, 601, 1100, 1101, 2345])
-def test_chunks(spark, n):
-    text = "가b" * (n // 2) + "c" * (n % 2)
-    got = [(r.chunk_start, r.chunk_text) for r in D.chunk_text(
-        spark.createDataFrame([(text,)], "text string")).orderBy("chunk").collect()]
-    want, start = [], 0
-    while n:
-        want.append((start, text[start:start + 600]))
-        if start + 600 >= len(text):
-            break
-        start += 500
-    assert got == want
+    df = spark.createDataFrame([("Mira q@z.example",)], "text string").withColumn("found", F.expr(
+        "array(named_struct('label', 'private_person', 'start', 0, 'end', 4, 'score', 0.5D), "
+        "named_struct('label', 'private_email', 'start', 5, 'end', 8, 'score', 0.9D))"))
+    assert M.mask(df, extra_spans=D.model_spans("text", "found")).first().masked == "[이름1] [이메일1]"
+
+
+@pytest.mark.parametrize("n", [0, 1, 600, 601, 1100, 1101, 3333])
+def test_chunks_overlap_and_cover(spark, n):
+    text = ("é𝄞x" * n)[:n]
+    got = [(r.chunk_start, r.chunk_text) for r in D.chunk_text(spark.createDataFrame([(text,)], "text string")).orderBy("chunk").collect()]
+    assert all(text[a:a + len(t)] == t for a, t in got) and [a for a, _ in got] == [500 * i for i in range(len(got))]
+    assert (not n and not got) or (got[-1][0] + len(got[-1][1]) == n and all(len(t) == 600 for _, t in got[:-1]))

@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from noticeflow.operators.completion import complete
 from noticeflow.sources import files, messages, sinks
-from noticeflow.streaming import polling
+from noticeflow.streaming import errors, polling
 
 RAW = "MessageKey bigint, Sender string, ReceiveDate string, Title string, MessageText string, IsUnRead int, DeletedDate string"
 
@@ -22,10 +23,50 @@ def test_optional_columns(spark):
 
 
 def test_forced_fetch(spark):
-    df = raw(spark, (1, 0), (2, 1), (3, 1))
-    assert [r.key for r in polling.fetch_now(df, 0).collect()] == [2, 3]
-    assert [r.key for r in polling.fetch_now(df, 3).collect()] == []
-    assert [r.key for r in polling.fetch_now(raw(spark, (1, 0), (2, 0)), 0).collect()] == [2]
+    def fetched(df, key, limit=None):
+        rows, mark = polling.fetch_now(df, key, limit)
+        return [r.key for r in rows.collect()], mark.first()["last_key"]
+
+    df = raw(spark, (4, 1), (5, 0), (6, 1), (7, 0))
+    assert fetched(df, 0) == ([4, 6], 7)
+    assert fetched(df, 7) == ([], 7)
+    assert fetched(raw(spark, (4, 0), (8, 0)), 0) == ([8], 8)
+    assert fetched(df, 3, 2) == ([4, 5], 5)
+    unreadable = df.withColumn("ReceiveDate", F.when(F.col("MessageKey") < 7, "tomorrow").otherwise(F.col("ReceiveDate")))
+    assert fetched(unreadable, 3, 2) == ([], 5) and fetched(unreadable, 5, 2) == ([7], 7)
+
+
+def test_old_messages_and_copies_in_later_batches(spark, tmp_path):
+    for n, rows in enumerate([[(1, "2026"), (2, "2026")], [(3, "2011"), (1, "2026")], [(4, "2026"), (3, "2011")]]):
+        part = spark.createDataFrame([(k, "s", f"{year}/07/16 17:04:52", "t", "b") for k, year in rows],
+                                     "MessageKey bigint, Sender string, ReceiveDate string, Title string, MessageText string")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = polling.read_messages(spark, str(tmp_path / "in"), part.schema, max_files=1)
+        (polling.stream_inputs(stream, 0).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination())
+    assert sorted(r.origin_ref for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "3", "4"]
+
+
+def test_work_runs_once_an_input(spark, tmp_path):
+    inputs = spark.createDataFrame([(str(i), "text", f"text {i}" if i else " ") for i in range(10)], "input_id string, kind string, text string")
+    inputs.write.parquet(str(tmp_path / "in"))
+    calls = str(tmp_path / "calls")
+
+    def work(good):
+        def counted(batches):
+            for b in batches:
+                for i in b["input_id"]:
+                    with open(calls, "a") as f:
+                        f.write(f"{i}\n")
+                yield b[["input_id"]].assign(error=[None if int(i) % 2 else "odd" for i in b["input_id"]])
+        return good.mapInPandas(counted, "input_id string, error string")
+
+    stream = spark.readStream.schema(inputs.schema).parquet(str(tmp_path / "in"))
+    paths = [str(tmp_path / x) for x in ("done", "dead", "state")]
+    errors.process_inputs(stream, work, *paths).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(open(calls).read().split()) == [str(i) for i in range(1, 10)]
+    assert sorted(r.input_id for r in spark.read.parquet(paths[0]).collect()) == ["1", "3", "5", "7", "9"]
+    assert sorted(r.input_id for r in spark.read.parquet(paths[1]).collect()) == ["0", "2", "4", "6", "8"]
 
 
 def test_start_key_is_stored_once(spark, tmp_path):

@@ -20,6 +20,27 @@ def empty(array_type: str) -> str:
     return f"cast(array() as {array_type})"
 
 
+CHUNK = 512
+
+
+def fold(items: str, state: dict[str, str], out_type: str, step, finish=lambda acc: acc + ".out") -> str:
+    """Fold an array with a growing result ``out`` beside the ``state``, chunk by chunk.
+
+    An append copies the array, so one fold over n elements costs n squared.  Here a chunk grows its own result, which joins
+    the whole once per chunk.  ``step(acc, item)`` gives a struct of the state and ``out``; ``items`` is evaluated often, so
+    it should be bound by ``let``.
+    """
+    def struct_of(values: dict[str, str], out: str) -> str:
+        return f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in values.items())}, 'out', {out})"
+
+    def chunk(acc: str, c: str) -> str:
+        inner = f"aggregate(slice({items}, {c} * {CHUNK} + 1, {CHUNK}), {struct_of({k: f'{acc}.{k}' for k in state}, empty(out_type))}, {fn(step, 'a', 'x')})"
+        return let(inner, lambda i: struct_of({k: f"{i}.{k}" for k in state}, f"concat({acc}.out, {i}.out)"))
+
+    return (f"aggregate(sequence(0, int((size({items}) - 1) div {CHUNK})), {struct_of(state, empty(out_type))}, "
+            f"{fn(chunk, 'a', 'c')}, {fn(finish)})")
+
+
 def searchable(text: str) -> str:
     """The text with the two marks, should they occur, replaced by another symbol of the same length."""
     return (f"if(contains({text}, {q(OPEN)}) OR contains({text}, {q(CLOSE)}), "
@@ -34,9 +55,8 @@ def matches(text: str, pattern: str, marked_form: str = MARK_VALUE) -> str:
             f"'start', {acc}.pos, 'end', {acc}.pos + length({value}), 'value', {value})))"))
 
     def offsets(ps: str) -> str:
-        zero = f"named_struct('pos', length({ps}[0]), 'out', {empty(MATCHES)})"
-        return (f"if(size({ps}) = 1, {empty(MATCHES)}, aggregate(slice({ps}, 2, size({ps}) - 1), {zero}, "
-                f"{fn(step, 'a', 'p')}, {fn(lambda acc: acc + '.out')}))")
+        found = let(f"slice({ps}, 2, size({ps}) - 1)", lambda rest: fold(rest, {"pos": f"length({ps}[0])"}, MATCHES, step))
+        return f"if(size({ps}) = 1, {empty(MATCHES)}, {found})"
 
     return let(f"split(regexp_replace({text}, {q(pattern)}, {q(marked_form)}), {q(OPEN)}, -1)", offsets)
 
@@ -64,16 +84,14 @@ def choose(spans: str) -> str:
         return f"if(size({run}) < 2, {run}, aggregate(array_sort({run}), {empty(_RANKED)}, {fn(keep, 'k', 's')}))"
 
     def step(acc: str, s: str) -> str:
-        closed = (f"named_struct('done', concat({acc}.done, {decide(acc + '.run')}), 'run', array({rank(s)}), "
-                  f"'reach', {s}.end)")
-        grown = (f"named_struct('done', {acc}.done, 'run', array_append({acc}.run, {rank(s)}), "
-                 f"'reach', greatest({acc}.reach, {s}.end))")
+        closed = f"named_struct('run', array({rank(s)}), 'reach', {s}.end, 'out', concat({acc}.out, {decide(acc + '.run')}))"
+        grown = (f"named_struct('run', array_append({acc}.run, {rank(s)}), 'reach', greatest({acc}.reach, {s}.end), "
+                 f"'out', {acc}.out)")
         return f"if({s}.start >= {acc}.reach, {closed}, {grown})"
 
     def resolve(found: str) -> str:
-        zero = f"named_struct('done', {empty(_RANKED)}, 'run', {empty(_RANKED)}, 'reach', 0)"
-        finish = fn(lambda acc: f"concat({acc}.done, {decide(acc + '.run')})")
-        chosen = f"aggregate(array_sort({found}), {zero}, {fn(step, 'a', 's')}, {finish})"
+        chosen = let(f"array_sort({found})", lambda ordered: fold(
+            ordered, {"run": empty(_RANKED), "reach": "0"}, _RANKED, step, lambda acc: f"concat({acc}.out, {decide(acc + '.run')})"))
         back = fn(lambda r: span(f"{r}.start", f"{r}.end", f"{r}.label", f"{r}.rule", f"-{r}.p", f"{r}.ord",
                                  f"{r}.confidence"))
         return f"if(size({found}) < 2, {found}, array_sort(transform({chosen}, {back})))"

@@ -14,7 +14,6 @@ MASKED_SPAN = ("struct<start:int,end:int,label:string,rule:string,prio:int,confi
                "token:string>")
 MASKED = f"struct<masked:string,mapping:map<string,string>,spans:array<{MASKED_SPAN}>>"
 _PREFIX_MAP = f"map({', '.join(q(v) for kv in R.PREFIXES.items() for v in kv)})"
-_SEP = q(chr(1))
 
 
 def prefix_of(label: str) -> str:
@@ -26,39 +25,48 @@ def mask_text(text: str, detections: str) -> str:
     untouched = (f"cast(named_struct('masked', {text}, 'mapping', cast(map() as map<string,string>), "
                  f"'spans', {S.empty(f'array<{MASKED_SPAN}>')}) as {MASKED})")
 
-    def numbering(spans: str, keys: str) -> str:
-        """map key -> token; numbers run per label over the distinct keys in text order."""
-        def per_label(distinct: str) -> str:
-            def tokens(label: str) -> str:
-                mine = f"filter({distinct}, {fn(lambda k: f'substring_index({k}, {_SEP}, 1) = {label}')})"
-                entry = fn(lambda k, i: f"struct({k}, concat('[', {prefix_of(label)}, {i} + 1, ']'))", "k", "i")
-                return f"transform({mine}, {entry})"
-            labels = f"array_distinct(transform({spans}, {fn(lambda s: s + '.label')}))"
-            return f"map_from_entries(flatten(transform({labels}, {fn(tokens)})))"
-        return let(f"array_distinct({keys})", per_label)
+    def numbering(spans: str, values: str) -> str:
+        """array<struct<token, first>> by place: numbers run per label over distinct stripped values in text order.
+
+        Equal values are found by sorting, and the numbers by sorting their first places, so the cost stays near linear.
+        """
+        entry = fn(lambda v, i: f"struct({spans}[{i}].label AS l, {strip(v)} AS v, {i} AS i)", "v", "i")
+
+        def first_places(rows: str) -> str:
+            def step(acc: str, x: str) -> str:
+                f = f"if({acc}.l <=> {x}.l AND {acc}.v <=> {x}.v, {acc}.f, {x}.i)"
+                return let(f, lambda at: (f"named_struct('l', {x}.l, 'v', {x}.v, 'f', {at}, 'out', array_append({acc}.out, "
+                                          f"struct({x}.l AS l, {at} AS f, {x}.i AS i)))"))
+            state = {"l": "cast(null as string)", "v": "cast(null as string)", "f": "-1"}
+            return S.fold(rows, state, "array<struct<l:string,f:int,i:int>>", step)
+
+        def numbers(rows: str) -> str:
+            def step(acc: str, x: str) -> str:
+                n = f"if({acc}.l <=> {x}.l, if({acc}.f = {x}.f, {acc}.n, {acc}.n + 1), 1)"
+                return let(n, lambda at: (
+                    f"named_struct('l', {x}.l, 'f', {x}.f, 'n', {at}, 'out', array_append({acc}.out, struct({x}.i AS i, "
+                    f"concat('[', {prefix_of(x + '.l')}, {at}, ']') AS token, {x}.f = {x}.i AS first)))"))
+            state = {"l": "cast(null as string)", "f": "-1", "n": "0"}
+            return S.fold(rows, state, "array<struct<i:int,token:string,first:boolean>>", step)
+
+        places = let(f"array_sort(transform({values}, {entry}))", first_places)
+        return f"array_sort({let(f'array_sort({places})', numbers)})"
 
     def assemble(spans: str, parts: str, values: str, tokens: str) -> str:
         end_before = lambda i: f"if({i} = 0, 0, get({spans}, {i} - 1).end)"
-        pieces_out = fn(lambda s, i: f"concat({cut(parts, end_before(i), s + '.start')}, {tokens}[{i}])", "s", "i")
+        pieces_out = fn(lambda s, i: f"concat({cut(parts, end_before(i), s + '.start')}, {tokens}[{i}].token)", "s", "i")
         tail = cut(parts, f"element_at({spans}, -1).end", f"length({text})")
-        first_use = fn(lambda t: f"struct({t}, element_at({values}, int(array_position({tokens}, {t}))))")
+        first_use = (f"transform(filter({tokens}, {fn(lambda t: t + '.first')}), "
+                     f"{fn(lambda t: f'struct({t}.token, {values}[{t}.i])')})")
         span_out = fn(lambda s, i: (
             f"named_struct('start', {s}.start, 'end', {s}.end, 'label', {s}.label, 'rule', {s}.rule, 'prio', {s}.prio,"
-            f" 'confidence', {s}.confidence, 'value', {values}[{i}], 'token', {tokens}[{i}])"), "s", "i")
+            f" 'confidence', {s}.confidence, 'value', {values}[{i}], 'token', {tokens}[{i}].token)"), "s", "i")
         return (f"cast(named_struct('masked', concat(array_join(transform({spans}, {pieces_out}), ''), {tail}), "
-                f"'mapping', map_from_entries(transform(array_distinct({tokens}), {first_use})), "
-                f"'spans', transform({spans}, {span_out})) as {MASKED})")
+                f"'mapping', map_from_entries({first_use}), 'spans', transform({spans}, {span_out})) as {MASKED})")
 
     def numbered(spans: str, parts: str) -> str:
         values = f"transform({spans}, {fn(lambda s: cut(parts, s + '.start', s + '.end'))})"
-
-        def keyed(vs: str) -> str:
-            keys = f"zip_with({spans}, {vs}, " + fn(lambda s, v: f"concat({s}.label, {_SEP}, {strip(v)})", "s", "v") + ")"
-            tokens = let(keys, lambda ks: let(numbering(spans, ks), lambda token_of: (
-                f"transform({ks}, {fn(lambda k: f'element_at({token_of}, {k})')})")))
-            return let(tokens, lambda ts: assemble(spans, parts, vs, ts))
-
-        return let(values, keyed)
+        return let(values, lambda vs: let(numbering(spans, vs), lambda ts: assemble(spans, parts, vs, ts)))
 
     return let(S.choose(detections), lambda spans: (
         f"if(size({spans}) = 0, {untouched}, {let(pieces(text), lambda parts: numbered(spans, parts))})"))

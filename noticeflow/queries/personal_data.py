@@ -173,7 +173,7 @@ SELECT lang, label, count(*) AS n_spans, count(DISTINCT doc_id) AS n_documents,
 FROM found GROUP BY lang, label
 """)
 def privacy(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy_report(table(spark, sf, "documents"), rules=RULES)
+    return privacy_report(table(spark, sf, "documents"))
 
 
 def _spans_query(name: str, rule: str, pattern: str, group: str) -> None:
@@ -191,7 +191,7 @@ _spans_query("documents_local_phones", "local_phone", LOCAL, ", 1")
 @query("structured_detection", f"WITH {_FOUND} SELECT doc_id, label, count(*) AS n FROM found GROUP BY doc_id, label")
 def structured_detection(spark: SparkSession, sf: str) -> DataFrame:
     """Detected (not yet resolved) spans by label; a mobile number is also detected as other phone forms."""
-    found = D.detect(table(spark, sf, "documents"), families=("structured",), rules=RULES)
+    found = D.detect(table(spark, sf, "documents"), families=("structured",))
     return found.selectExpr("doc_id", "inline(detections)").groupBy("doc_id", "label").agg(
         F.countDistinct("start").alias("n"))
 
@@ -247,7 +247,7 @@ def restored_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("label_totals", f"WITH {_FOUND} SELECT label, count(*) AS n FROM found GROUP BY label")
 def label_totals(spark: SparkSession, sf: str) -> DataFrame:
-    masked = M.mask(table(spark, sf, "documents"), rules=RULES)
+    masked = M.mask(table(spark, sf, "documents"))
     return masked.selectExpr("inline(spans)").groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -260,7 +260,7 @@ FROM documents LEFT JOIN n USING (doc_id) GROUP BY lang
 def round_trip_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Every tenth text already holds '[이메일1]', so it cannot restore exactly once an e-mail is masked."""
     texts = table(spark, sf, "documents").selectExpr("lang", "if(doc_id % 10 = 0, concat('[이메일1] ', text), text) AS text")
-    checked = M.audit(M.mask(texts, rules=RULES))
+    checked = M.audit(M.mask(texts))
     return checked.groupBy("lang").agg(F.sum("n_masked").alias("n_masked"),
                                        F.expr("count_if(NOT round_trip)").alias("n_bad"))
 

@@ -44,10 +44,11 @@ def complete_with_retries(requests: DataFrame, make_client: Callable[[], Client]
                           prompt: str = "prompt", text: str = "text", ref: str = "reference_date") -> DataFrame:
     """(key, raw, error, attempts) after at most one JSON repair and one request retry.
 
-    Each pass is made durable before the next one reads it, so no call is repeated.  Only rows without JSON are
+    The requests and each pass are made durable before the next one reads them, so nothing is computed or called twice.  Only rows without JSON are
     repaired; only rows without items whose text asks for something are asked again, and a second answer counts only
     when it has items.
     """
+    requests = durable(requests.select(key, prompt, text, ref))
     first = durable(complete(requests, make_client, key, prompt).withColumn("attempts", F.lit(1)))
     parsed = once(first, f"named_struct('_ok', {let('coalesce(raw, ' + chr(39) * 2 + ')', extract_json)} IS NOT NULL)")
     bad = parsed.filter("error IS NULL AND NOT _ok").select(key)

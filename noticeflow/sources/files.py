@@ -38,8 +38,14 @@ def list_files(files: DataFrame, path: str = "path") -> tuple[DataFrame, DataFra
 
 
 def read_files(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) files of one directory level; contents are only read for accepted rows."""
-    return list_files(spark.read.format("binaryFile").load(directory))
+    """(accepted, rejected) files of one directory level; rejected ones have no ``content``, theirs is never opened."""
+    def any_case(ext: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
+
+    names = "*{" + ",".join(any_case(e) for e in (*IMAGE_EXTS, *TEXT_EXTS, *DOC_EXTS)) + "}"
+    accepted, _ = list_files(spark.read.format("binaryFile").option("pathGlobFilter", names).load(directory))
+    _, rejected = list_files(spark.read.format("binaryFile").load(directory).drop("content"))
+    return accepted, rejected
 
 
 @contextlib.contextmanager

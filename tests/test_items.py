@@ -108,3 +108,11 @@ def test_long_titles_stay_apart_unless_a_limit_is_given(spark):
     raw = json.dumps([{"title": "t" * 250 + end, "date": "3/4", "kind": "task"} for end in "ab"])
     assert len(parse(spark, raw)[0]["items"]) == 2
     assert len(parse(spark, raw, limits=SERVICE_LIMITS)[0]["items"]) == 1
+
+
+@pytest.mark.parametrize("auto,lunch", [("true", ("12:05", "13:10")), ("false", ("12:00", "12:50"))])
+def test_the_whole_day_is_refilled_and_lunch_follows_only_if_wanted(spark, auto, lunch):
+    periods = "array('09:10','x','','11:00','13:10','13:00','')"
+    row = spark.range(1).selectExpr(f"inline(array({timetable.cascade_all(periods, '40', '5', repr('12:00'), repr('12:50'), auto)}))").first()
+    assert row.periods == ["09:10", "09:55", "10:40", "11:25", "13:10", "13:55", "14:40"]
+    assert (row.lunch_start, row.lunch_end) == lunch

@@ -88,3 +88,17 @@ def test_chunks_overlap_and_cover(spark, n):
     got = [(r.chunk_start, r.chunk_text) for r in D.chunk_text(spark.createDataFrame([(text,)], "text string")).orderBy("chunk").collect()]
     assert all(text[a:a + len(t)] == t for a, t in got) and [a for a, _ in got] == [500 * i for i in range(len(got))]
     assert (not n and not got) or (got[-1][0] + len(got[-1][1]) == n and all(len(t) == 600 for _, t in got[:-1]))
+
+
+def test_the_older_gates_of_a_model(spark):
+    """A birth date counts near a birth word on either side; a public link and a date taken for a number do not."""
+    def found(text, label, value):
+        at = text.index(value)
+        df = spark.createDataFrame([(text,)], "text string").withColumn("found", F.expr(
+            f"array(named_struct('label', '{label}', 'start', {at}, 'end', {at + len(value)}, 'score', 0.5D))"))
+        return len(df.selectExpr(f"{D.model_spans('text', 'found', strong=False)} AS s").first().s)
+
+    assert found("생년월일 1985-11-17", "private_date", "1985-11-17") == 1
+    assert found("납품 1985-11-17", "private_date", "1985-11-17") == 0
+    assert found("see https://freight.example/list", "private_url", "https://freight.example/list") == 0
+    assert found("call Mira now", "private_person", "Mira") == 1 and found("call Mira now", "no_such_label", "Mira") == 0

@@ -110,3 +110,16 @@ def test_one_failing_call_does_not_stop_the_others(spark):
     df = spark.createDataFrame([("1", "a"), ("2", "bad"), ("3", "c")], "input_id string, prompt string")
     got = {r.input_id: (r.raw, r.error) for r in complete(df, make_client).collect()}
     assert got == {"1": ("A", None), "2": (None, "ValueError: boom"), "3": ("C", None)}
+
+
+def test_unsupported_files_are_never_opened(spark, tmp_path):
+    (tmp_path / "note.TXT").write_bytes(b"hello")
+    (tmp_path / "clip.mp4").write_bytes(b"x" * 5000)
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        good, bad = files.read_files(spark, str(tmp_path))
+        assert [(r.name, bytes(r.content)) for r in good.collect()] == [("note.TXT", b"hello")]
+        assert [(r.name, r.length) for r in bad.collect()] == [("clip.mp4", 5000)] and "content" not in bad.columns
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)

@@ -33,17 +33,18 @@ SURNAMES_1 = (
 )
 SURNAMES_2 = ("남궁", "제갈", "황보", "사공", "선우", "서문", "독고", "동방", "어금", "강전", "망절")
 
-# words found where a name could stand that are never a name
-NOT_A_PERSON = tuple("""
-담임 담당 수련 지도사 선생 선생님 교직원 예방교육 학년부 교무부 학생부 행정실 교육청 관리자 전체 여러분 각반 각학년
-안내 요청 회의 부장님 학부모 보호자 학년 모든 전교 해당 관련 각각 신규 기간제 전담 보건 영양 사서 상담 체육 음악 미술
-영어 수학 국어 과학 사회 역사 도덕 기술 가정 정보 한문 일본어 중국어 진로 특수 유치원 초등 중등 고등 교과 부담임 학급
-교무 연구 생활 안전 인성 방과후 돌봄 급식 시설 교육 행정 감사 존경하는 친애하는 연락처 전화 전화번호 휴대폰 핸드폰 문의
-문의처 이메일 메일 번호 대표 사무실 긴급 비상 내선 직통 팩스 주소 우리 저희 해당반 우리반 전교생 재학생 연수 명단 명부
-성적 지도 방문 인원 임원 전원 유의 배정 신청 봉사 조회 제출 서류 회신 문서 공지 안건 심의 표준 기간 기준 고지 국내 선발
-선정 선착순 설문 도서 권한 감염 예방 예정 오전 오후 전달 참가 차량 하교 등교 방학 학사 임시 정기 추가 확인 제한 최종
-우수 구분
-""".split())
+# ---- fixed values: words found where a name could stand that are never a name
+NOT_A_PERSON = (
+    "담임", "담당", "수련", "지도사", "선생", "선생님", "교직원", "예방교육", "학년부", "교무부", "학생부", "행정실", "교육청", "관리자", "전체", "여러분",
+    "각반", "각학년", "안내", "요청", "회의", "부장님", "학부모", "보호자", "학년", "모든", "전교", "해당", "관련", "각각", "신규", "기간제", "전담",
+    "보건", "영양", "사서", "상담", "체육", "음악", "미술", "영어", "수학", "국어", "과학", "사회", "역사", "도덕", "기술", "가정", "정보", "한문",
+    "일본어", "중국어", "진로", "특수", "유치원", "초등", "중등", "고등", "교과", "부담임", "학급", "교무", "연구", "생활", "안전", "인성", "방과후",
+    "돌봄", "급식", "시설", "교육", "행정", "감사", "존경하는", "친애하는", "연락처", "전화", "전화번호", "휴대폰", "핸드폰", "문의", "문의처", "이메일",
+    "메일", "번호", "대표", "사무실", "긴급", "비상", "내선", "직통", "팩스", "주소", "우리", "저희", "해당반", "우리반", "전교생", "재학생", "연수",
+    "명단", "명부", "성적", "지도", "방문", "인원", "임원", "전원", "유의", "배정", "신청", "봉사", "조회", "제출", "서류", "회신", "문서", "공지",
+    "안건", "심의", "표준", "기간", "기준", "고지", "국내", "선발", "선정", "선착순", "설문", "도서", "권한", "감염", "예방", "예정", "오전",
+    "오후", "전달", "참가", "차량", "하교", "등교", "방학", "학사", "임시", "정기", "추가", "확인", "제한", "최종", "우수", "구분",
+)
 NOT_IN_A_NAME = ("선생", "학생", "교사", "학년", "담당", "부장", "교감", "교장", "학교", "교육", "부서", "여러분")
 NAME_PARTICLE = r"(?:께서|님께|님|께|씨|이|가|은|는|의|과|와|도|에게|한테)$"
 

@@ -92,7 +92,7 @@ rule_query("rule_secret", ["'비밀번호: '", ("secret", "secret", f"'pw!' || {
 rule_query("rule_birth", ["'생년월일: '", ("birth", "birth", f"'2001.' || CAST(c_custkey % 12 + 1 AS STRING) || '.' || {D2}", "[생년월일1]"),
                           "' 끝'"])
 rule_query("rule_labeled_id", ["'접수번호 '", ("document_id", "labeled_id", f"'zz-' || {K4}", "[문서번호1]"), "' 끝'"])
-rule_query("rule_address", ["'위치 '", ("address", "address_line", f"'서울특별시 관악구 봉천로 ' || {D2}", "[주소1]"), "' 옆'"])
+rule_query("rule_address", ["'위치 '", ("address", "address_line", f"'부산광역시 영도구 태종로 ' || {D2}", "[주소1]"), "' 옆'"])
 rule_query("rule_private_url", [
     "'see '", ("url", "private_url", "CASE WHEN c_custkey % 2 = 0 THEN 'https://ex.org/a?token=z' || CAST(c_custkey AS STRING) "
                "ELSE 'https://ex.org/a?page=z' || CAST(c_custkey AS STRING) END", "[개인링크1]"), "' end'"], when="c_custkey % 2 = 0")

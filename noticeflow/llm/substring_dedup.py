@@ -20,8 +20,9 @@ from noticeflow.llm.common import join_split, packed, stored, unpacked
 
 #: Bytes of a gram, bytes that a task works on at a time, words of a Bloom filter at most (16 MB).
 GRAM, BLOCK, MOST_WORDS = 16, 1 << 20, 1 << 21
-#: Kinds of runs around a gram that are compared in one task; with more, their windows are dealt out.
-FEW = 512
+#: Kinds of runs around a gram that are compared in one task (some 5 MB of bytes, 60 MB of hashes); with more, their windows
+#: are dealt out.
+FEW = 16_384
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 

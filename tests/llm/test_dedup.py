@@ -61,7 +61,7 @@ def substring_brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("few", [512, 1])
+@pytest.mark.parametrize("few", [16_384, 1])
 def test_substrings_equal_brute_force(make, edge_rows, monkeypatch, few):
     monkeypatch.setattr("noticeflow.llm.substring_dedup.FEW", few)
     shared, edge = words(20, 60), words(21, 40)

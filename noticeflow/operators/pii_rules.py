@@ -119,6 +119,7 @@ class Rule:
         return f"({self.before})({self.value})({self.after})"
 
 
+# ---- fixed values: the patterns of the rules below
 STRUCTURED = (
     Rule("document_code", "document_id", r"[A-Za-z]{1,2}\d{8,10}", r"(?<![A-Za-z0-9])", r"(?![0-9])",
          gate="not_date_hour", digits=4),

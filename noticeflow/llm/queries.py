@@ -97,7 +97,7 @@ FROM o GROUP BY conv_id, perspective, part"""
 @query
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"))
+        "doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"))
     learned = profiles(docs.filter("not held_out"))
     return identify(spark, docs, learned, carry=["doc_id", "held_out"])
 

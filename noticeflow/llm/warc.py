@@ -17,7 +17,7 @@ from noticeflow.plans.durable import shared_folder
 #: Payloads below this many bytes are always stored.
 LEAST_BYTES = 100
 #: Records of one archive file; a reader holds one file at a time.
-RECORDS = 2000
+RECORDS = 500
 #: Captures of one sorted run, of one piece of a run, and of one range of the merged index.
 RUN, PIECE, RANGE = 4096, 256, 20_000
 
@@ -81,8 +81,8 @@ def write_archives(pages: DataFrame, path: str | None = None, start_date: str =
     return path
 
 
-def parse_records(data: bytes, file: str) -> Iterator[tuple]:
-    """Records of one archive file by their declared lengths."""
+def parse_records(data: bytes, file: str, payloads: bool = True) -> Iterator[tuple]:
+    """Records of one archive file by their declared lengths; the payload is checked, and handed on if wanted."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -97,24 +97,26 @@ def parse_records(data: bytes, file: str) -> Iterator[tuple]:
         page, refers = (head.get(k, "<urn:page:null>")[10:-1] for k in ("WARC-Record-ID", "WARC-Refers-To"))
         kind = head["WARC-Type"]
         yield (None if page == "null" else int(page), head.get("WARC-Target-URI"), head["WARC-Date"], kind,
-               int(head["X-Payload-Length"]), digest, None if refers == "null" else int(refers), payload, file, at,
+               int(head["X-Payload-Length"]), digest, None if refers == "null" else int(refers),
+               payload if payloads else None, file, at,
                stop - at, kind == "revisit" or hashlib.sha256(payload).hexdigest() == digest)
         at = stop
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Every record below ``path`` with its file, offset and length; ``intact`` compares a response with its digest.
 
-    One archive file is read into a task at a time; it is bounded by its number of records.
+    One archive file is read into a task at a time; it is bounded by its number of records.  Without ``payloads`` they are
+    checked against their digests but not handed on, which an index does not need.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path"), batch.column("content")):
-                rows = list(parse_records(content.as_py(), file.as_py()))
-                for i in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in rows[i:i + 500]] for k, f in enumerate(RECORD.fields)},
+                rows = list(parse_records(content.as_py(), file.as_py(), payloads))
+                for i in range(0, len(rows), 100):
+                    yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in rows[i:i + 100]] for k, f in enumerate(RECORD.fields)},
                                                      schema=pa.schema([(f.name, t) for f, t in zip(RECORD.fields, ARROW)]))
 
     return files.mapInArrow(run, RECORD)
@@ -298,4 +300,4 @@ def archive_pages(pages: DataFrame, path: str | None = None, **options) -> DataF
     such and never refers to another page.  Rows that repeat an id are records of their own, and both responses, since only
     a smaller id is referred to.  Other columns of the input are not read.
     """
-    return capture_index(read_archives(pages.sparkSession, write_archives(pages, path, **options)))
+    return capture_index(read_archives(pages.sparkSession, write_archives(pages, path, **options), payloads=False))

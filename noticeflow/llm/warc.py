@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import bisect
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
@@ -73,11 +74,11 @@ def write_archives(pages: DataFrame, path: str | None = None, start_date: str =
     """Write one record per page and return the folder (a new one in the shared folder by default).
 
     Spark's text sink writes the files, so that a lost task is done again and nothing is kept twice, on any file system that
-    Spark knows.  A file holds at most ``RECORDS`` records, uncompressed, and is a WARC 1.1 file.
+    Spark knows.  A file holds at most ``RECORDS`` records and is a WARC 1.1 file, compressed as a whole.
     """
     path = path or shared_folder(pages.sparkSession)
     (with_record_types(pages, **columns).select(record_text(start_date).alias("value"))
-     .write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS).text(path))
+     .write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path))
     return path
 
 
@@ -104,7 +105,7 @@ def parse_records(data: bytes, file: str, payloads: bool = True) -> Iterator[tup
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Every record below ``path`` with its file, offset and length; ``intact`` compares a response with its digest.
+    """Every record below ``path`` with its file, offset and length (both before compression); ``intact`` compares a response with its digest.
 
     One archive file is read into a task at a time; it is bounded by its number of records.  Without ``payloads`` they are
     checked against their digests but not handed on, which an index does not need.
@@ -114,7 +115,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path"), batch.column("content")):
-                rows = list(parse_records(content.as_py(), file.as_py(), payloads))
+                rows = list(parse_records(gzip.decompress(content.as_py()), file.as_py(), payloads))
                 for i in range(0, len(rows), 100):
                     yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in rows[i:i + 100]] for k, f in enumerate(RECORD.fields)},
                                                      schema=pa.schema([(f.name, t) for f, t in zip(RECORD.fields, ARROW)]))

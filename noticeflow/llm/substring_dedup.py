@@ -8,7 +8,6 @@ picks two of three.
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

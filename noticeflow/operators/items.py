@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow.functions.dates import at, parse_date, parse_time
-from noticeflow.functions.text import fn, let, once, strip
+from noticeflow.functions.text import let, once, strip
 from noticeflow.operators.neighbours import numbered
 
 RAW_FIELDS = ("title", "date", "time", "end_date", "end_time", "kind", "category", "location", "notes", "confidence")

@@ -5,7 +5,6 @@ text follow from its parts, so the SQL does not have to know the rules.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from noticeflow.functions.dates import calendar_hint, describe_when
 from noticeflow.operators import inputs as I

@@ -13,7 +13,6 @@ IMAGE_EXTS = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp")
 TEXT_EXTS = (".txt", ".md", ".csv")
 DOC_EXTS = (".pdf", ".hwpx", ".hwp")
 MIN_PAGE_CHARS = 20
-MAX_SCAN_PAGES = 10
 
 
 def base_name(path: str) -> str:

@@ -10,6 +10,7 @@ import xxhash
 
 from noticeflow.llm.components import components
 from noticeflow.llm.exact_dedup import exact_dedup
+from noticeflow.llm.near_copies import near_components
 from noticeflow.llm.simhash import fingerprint, grid_keys, near_links, simhash_components, spanning_links
 from noticeflow.llm.substring_dedup import BLOCK, Block, substring_dedup
 
@@ -157,3 +158,44 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 500), (600, 700), (700, 600)]
     got = {r.u: r.v for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, 700: 600}
+
+
+def near_brute(texts):
+    """Smallest index of each text's component of near copies."""
+    def shingles(text):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return {tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))}
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("common", [2, 1000])
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_copies_equal_brute_force(spark, monkeypatch, common, rounds):
+    monkeypatch.setattr("noticeflow.llm.near_copies.COMMON", common)
+    monkeypatch.setattr("noticeflow.llm.near_copies.ROUNDS", rounds)
+    r = random.Random(17)
+    texts = [None, "", " \t\n", "one", "ONE", "one two three four", "one two three  FOUR", "é x"]
+    line = words(70, 30)
+    for i in range(14):
+        base = words(100 + i, r.choice([9, 30, 120])).split()
+        texts.append(" ".join(base))
+        for n in range(8):
+            at, other = r.sample(range(len(base)), min(len(base), 1 + n % 5)), base[:]
+            for a in at:
+                other[a] = f"w{n}"
+            texts.append(" ".join(other) + (" " + line if n == 7 else ""))
+    texts += [line + " " + words(300 + i, 5 + i) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, line + " repeated"), (901, line + " repeated")]
+    df = spark.createDataFrame([(k - 500, t) for k, t in rows], "_key long, _text string")
+    df = df.union(spark.createDataFrame([(400, line + " repeated")], "_key long, _text string"))
+    got = {x.u: x.v for x in near_components(df).collect()}
+    want = near_brute([t for _, t in rows])
+    assert len(set(want)) < len(want) - 30
+    assert [got.get(k - 500, k - 500) for k, _ in rows] == [rows[w][0] - 500 for w in want]

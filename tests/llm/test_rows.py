@@ -141,3 +141,18 @@ def test_pipeline_stages(spark, make, tmp_path):
     copies = Counter(kept["mixing to target weights"])
     assert set(copies) <= {*range(10, 60), *range(100, 110)} and max(copies.values()) <= 2
     assert kept["byte-level BPE"] == kept["mixing to target weights"] and "n_tokens" in docs.columns
+
+
+def test_near_stage_links_near_copies_of_five_word_shingles(spark, make):
+    r = random.Random(5)
+    rows = [(i, " ".join(f"{r.choice(['tree', 'river', 'stone'])}{r.randrange(300)}" for _ in range(200))) for i in range(20)]
+    for i, t in rows[:10]:  # three words changed: at most 15 of 196 shingles, similarity 0.85 or more
+        ws = t.split()
+        for at in (30, 90, 150):
+            ws[at] = f"changed{at}"
+        rows.append((100 + i, " ".join(ws)))
+    ws = rows[15][1].split()
+    ws[10:190:12] = ["other"] * 15  # similarity below 0.8
+    rows.append((115, " ".join(ws)))
+    kept = corpus_pipeline.near_stage(spark, make(rows), "").collect()
+    assert sorted(x.doc_id for x in kept) == [*range(20), 115]

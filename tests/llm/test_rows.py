@@ -156,3 +156,12 @@ def test_near_stage_links_near_copies_of_five_word_shingles(spark, make):
     rows.append((115, " ".join(ws)))
     kept = corpus_pipeline.near_stage(spark, make(rows), "").collect()
     assert sorted(x.doc_id for x in kept) == [*range(20), 115]
+
+
+def test_near_stage_keeps_one_row_of_each_group_whatever_the_ids(spark, make):
+    clean, text, other, third = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, text), (2, text + " end"), (2, clean),  # an id is shared by a near copy and a clean row
+            (7, other), (7, other + " end"), (None, other), (None, third), (None, third + " end"), (9, "z"), (9, "z"), (None, "y")]
+    kept = corpus_pipeline.near_stage(spark, make(rows), "").collect()
+    got = Counter((x.doc_id, (x.text or "").removesuffix(" end")) for x in kept)
+    assert got == Counter([(1, text), (2, clean), (7, other), (None, third), (9, "z"), (None, "y")])

@@ -9,18 +9,22 @@ from noticeflow.llm.common import SPACE, packed, stored, unpacked
 #: A selected gram is one long: 32 bits of hash above 31 bits that fall as the position rises, so that the least value is
 #: the least hash and, of equal hashes, the rightmost.
 LAST = (1 << 31) - 1
+#: Longer words (texts without white space, encoded data) are taken apart.
+LONG = 24
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = 5, w: int = 16) -> DataFrame:
     """``df`` with the winnowed grams ``out`` (array of longs) of the text column ``text``.
 
-    Words end at ASCII white space.  Every run of ``k`` words has a hash, rolled over the hashes of its words; in every
+    Words end at ASCII white space; of a word of over ``LONG`` code points each one counts as a word.  Every run of ``k`` words has a hash, rolled over the hashes of its words; in every
     window of ``w`` runs the least hash is selected, the rightmost of equal ones.  Two texts that share ``k + w - 1`` words
-    in a row therefore share a gram.  A text of fewer words is one run, one of fewer runs one window; without words nothing
-    is selected.  The steps are columns of their own, so that no step is evaluated inside the next one's loop.
+    in a row therefore share a gram.  Of a text of up to ``2 * w`` runs all are selected, so that a short one is not alike
+    or unlike by the luck of a single window.  A text of fewer than ``k`` words is one run; without words nothing is selected.  The steps are columns of their own, so that no step is evaluated inside the next one's loop.
     """
     ends = "".join(f"\\u{c:04x}" for c in (9, 10, 11, 12, 13, 32))
     words = f"split(btrim(coalesce(`{text}`, ''), '{ends}'), '[{SPACE}]+')"
+    apart = f"flatten(transform({words}, x -> if(char_length(x) > {LONG}, split(x, ''), array(x))))"
+    words = f"CASE WHEN `{text}` RLIKE '[^{SPACE}]{{{LONG + 1}}}' THEN {apart} ELSE {words} END"
     grams = ", ".join(f"_h[i + {j}]" for j in range(k))
     packed_gram = f"shiftleft(({{}}) & 4294967295L, 31) | ({LAST}L - {{}})"
     return (df.withColumn("_h", F.expr(f"transform({words}, x -> xxhash64(x))"))
@@ -29,7 +33,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = 5, w: int = 16
                 WHEN size(_h) < {k} THEN array({packed_gram.format("xxhash64(array_join(_h, ','))", "0L")})
                 ELSE transform(sequence(0, size(_h) - {k}), i -> {packed_gram.format(f"xxhash64({grams})", "i")}) END"""))
             .withColumn(out, F.expr(f"""CASE WHEN size(_g) = 0 THEN _g
-                WHEN size(_g) <= {w} THEN array(array_min(_g))
+                WHEN size(_g) <= {2 * w} THEN _g
                 ELSE array_distinct(transform(sequence(1, size(_g) - {w - 1}), i -> array_min(slice(_g, i, {w})))) END"""))
             .drop("_h", "_g"))
 
@@ -75,7 +79,7 @@ def _neighbours(keys: DataFrame) -> DataFrame:
     return stored(after)
 
 
-def edit_likeness(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, w: int = 16,
+def edit_likeness(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 3, w: int = 8,
                   carry: list[str] | None = None) -> DataFrame:
     """Fingerprints of every text, of its edited text, and how alike it is to that and to the next document.
 

@@ -140,3 +140,12 @@ def test_quality_learns_and_keeps_clean_documents(spark, make):
 def test_text_view_of_a_repeated_word():
     at, value, dense = text_view("again " * 50)
     assert len(at) == 2 and np.allclose(value, 1) and dense[1] == 1.0
+
+
+def test_short_and_unspaced_texts_keep_what_their_edit_leaves(make):
+    r = random.Random(11)
+    texts = [" ".join(f"{r.choice('abcdefgh')}{r.randrange(10_000):04}" for _ in range(n)) for n in range(6, 50)]
+    texts += ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in (40, 60, 200)] + ["x1y2z" * 40]
+    got = edit_likeness(make(list(enumerate(texts)))).collect()
+    assert [x.doc_id for x in got if x.near_edited == 0] == []
+    assert all(x.near_edited < 1 for x in got if x.doc_id < 13)

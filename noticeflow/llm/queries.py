@@ -111,8 +111,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type",
-                                                               "refers_to")
+    read = archive_pages(table(spark, sf_dir, "pages"))
+    sound = F.when(F.col("intact"), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a payload was damaged")).cast("long"))
+    return read.select("page_id", sound.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 ORACLES["op10_warc"] = """

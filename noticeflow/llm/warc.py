@@ -100,7 +100,8 @@ def parse_records(data: bytes, file: str, payloads: bool = True) -> Iterator[tup
         yield (None if page == "null" else int(page), head.get("WARC-Target-URI"), head["WARC-Date"], kind,
                int(head["X-Payload-Length"]), digest, None if refers == "null" else int(refers),
                payload if payloads else None, file, at,
-               stop - at, kind == "revisit" or hashlib.sha256(payload).hexdigest() == digest)
+               stop - at, kind == "revisit" or (len(payload) == int(head["X-Payload-Length"])
+                                                and hashlib.sha256(payload).hexdigest() == digest))
         at = stop
 
 

@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from noticeflow.llm.chat import perspectives
 from noticeflow.llm.mixing import mix, repeated
@@ -165,3 +167,13 @@ def test_near_stage_keeps_one_row_of_each_group_whatever_the_ids(spark, make):
     kept = corpus_pipeline.near_stage(spark, make(rows), "").collect()
     got = Counter((x.doc_id, (x.text or "").removesuffix(" end")) for x in kept)
     assert got == Counter([(1, text), (2, clean), (7, other), (None, third), (9, "z"), (None, "y")])
+
+
+def test_the_archive_query_fails_on_a_damaged_payload(spark, tmp_path, monkeypatch):
+    from noticeflow.llm import queries, warc
+    spark.createDataFrame([(1, "http://a.example/", "page" * 50)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [(x.payload_bytes, x.record_type) for x in queries.op10_warc(spark, str(tmp_path)).collect()] == [(200, "response")]
+    whole = warc.archive_pages
+    monkeypatch.setattr(queries, "archive_pages", lambda df: whole(df).withColumn("intact", F.lit(False)))
+    with pytest.raises(Exception, match="damaged"):
+        queries.op10_warc(spark, str(tmp_path)).collect()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from noticeflow.llm.bpe import encode_documents, token_digests
+from noticeflow.llm.bpe_stream import stream_documents
 from noticeflow.llm.chat import perspectives
 from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.language import identify, profiles
@@ -123,3 +124,9 @@ WITH t AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to FROM f"""
+
+
+@query
+def op11_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(stream_documents(spark, table(spark, sf_dir, "documents"),
+                                          public_tokenizers.path("byte_bpe_50k.json"), carry=["doc_id"]), ["doc_id"])

@@ -12,6 +12,7 @@ from noticeflow.llm.bpe import encode_documents, token_digests
 from noticeflow.llm.bpe_stream import stream_documents
 from noticeflow.llm.chat import perspectives
 from noticeflow.llm.exact_dedup import exact_dedup
+from noticeflow.llm.filter_audit import filter_audit
 from noticeflow.llm.language import identify, profiles
 from noticeflow.llm.mixing import mix
 from noticeflow.llm.quality import quality
@@ -130,3 +131,34 @@ SELECT page_id, payload_bytes, payload_digest,
 def op11_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(stream_documents(spark, table(spark, sf_dir, "documents"),
                                           public_tokenizers.path("byte_bpe_50k.json"), carry=["doc_id"]), ["doc_id"])
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+     l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+           FROM labels GROUP BY doc_id),
+     f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                  CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                  || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+                  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                  || CASE WHEN first_id < w.doc_id THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+     g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+     x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+     o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+           WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+     s AS (SELECT part, filter_order, step, n, good, toxic, contains(fails, substr(filter_order, step, 1)) AS own,
+                  len(fails) = 1 AND fails = substr(filter_order, step, 1) AS lone, len(fails) AS k,
+                  regexp_matches(fails, '[' || CASE WHEN step = 1 THEN 'Z' ELSE substr(filter_order, 1, step - 1) END || ']') AS gone
+           FROM g, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step))
+SELECT part, filter_order, step::INTEGER AS step, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+       sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN own AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+       sum(CASE WHEN lone THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+       sum(CASE WHEN own AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost, sum(CASE WHEN own THEN n * 120 // k ELSE 0 END)::BIGINT AS shapley
+FROM s GROUP BY part, filter_order, step"""

@@ -15,6 +15,7 @@ from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.filter_audit import filter_audit
 from noticeflow.llm.language import identify, profiles
 from noticeflow.llm.mixing import mix
+from noticeflow.llm.prefix_trie import prefix_trie
 from noticeflow.llm.quality import quality
 from noticeflow.llm.simhash import simhash_components
 from noticeflow.llm.substring_dedup import substring_dedup
@@ -133,6 +134,41 @@ def op11_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           public_tokenizers.path("byte_bpe_50k.json"), carry=["doc_id"]), ["doc_id"])
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), shared=True)
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH RECURSIVE t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS body, row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+                     FROM conversations WHERE conv_id IS NOT NULL),
+     own AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+     crc AS (SELECT c, c::VARCHAR AS s, 0 AS k, 4294967295::UBIGINT AS x FROM own
+             UNION ALL
+             SELECT c, s, k + 1, xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END::UBIGINT)
+             FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(x, ascii(substr(s, k // 8 + 1, 1))::UBIGINT) ELSE x END AS y FROM crc)
+             WHERE k < 8 * length(s)),
+     h AS (SELECT own.c, n, own.c - own.c % 5 AS base, (xor(x, 4294967295::UBIGINT) % 9)::BIGINT AS h FROM own JOIN crc ON own.c = crc.c
+           WHERE k = 8 * length(s)),
+     v AS (SELECT h.c, h.base, h.h, least(h.h, coalesce(b.n, 0)) AS m, least(h.h, coalesce(b.n, 0)) + greatest(h.n - h.h, 0) AS length
+           FROM h LEFT JOIN own b ON h.base = b.c),
+     r AS (SELECT v.c, t.i, role, body FROM t JOIN v ON t.c = v.base WHERE t.i <= v.h
+           UNION ALL SELECT v.c, t.i - v.h + v.m, role, body FROM t JOIN v ON t.c = v.c WHERE t.i > v.h),
+     q AS (SELECT c, i AS depth, strlen(body) AS bytes,
+                  sha256(string_agg(sha256(role) || sha256(body), '' ORDER BY i) OVER (PARTITION BY c ORDER BY i)) AS key FROM r
+           UNION ALL SELECT c, 0, 0, '' FROM v),
+     p AS (SELECT q.*, lag(key) OVER (PARTITION BY q.c ORDER BY depth) AS parent, depth = length AS ends FROM q JOIN v ON q.c = v.c),
+     g AS (SELECT depth, key, min(parent) AS parent, min(c) AS conv_id, count(*) AS n, max(bytes) AS bytes,
+                  string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends) AS ids FROM p GROUP BY depth, key),
+     k AS (SELECT g.*, (SELECT count(*) FROM g x WHERE x.depth = g.depth + 1 AND x.parent = g.key) AS children FROM g),
+     s AS (SELECT p.depth, p.key, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * k.bytes) AS saved
+           FROM k JOIN p ON p.c = k.conv_id AND p.depth <= k.depth GROUP BY p.depth, p.key)
+SELECT k.conv_id, k.depth, o.conv_id AS parent_conv_id, k.n AS n_convs, k.children AS n_children, s.leaves::BIGINT AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(coalesce(k.ids, '')) AS ends_sha256
+FROM k JOIN s ON k.depth = s.depth AND k.key = s.key LEFT JOIN g o ON o.depth = k.depth - 1 AND o.key = k.parent"""
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

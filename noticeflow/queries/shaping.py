@@ -158,7 +158,7 @@ SELECT doc_id, md5(substring(text, 1, 1000)) AS text_md5, least(doc_id % 15, 10)
 """)
 def input_caps(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").selectExpr("doc_id", "text", "doc_id % 15 AS images")
-    return I.cap_input(rows, images="images", max_chars=1000).selectExpr(
+    return I.cap_input(rows, images="images", max_chars=1000, max_images=10).selectExpr(
         "doc_id", "md5(capped) AS text_md5", "n_images", "array_join(warnings, '|') AS warnings")
 
 

@@ -26,8 +26,11 @@ def neighbour(df: DataFrame, keys: list[str], order: str, value: str, block: str
     borders = rows.groupBy(*keys, "_block").agg(border.alias("_v"))
     across = Window.partitionBy(*keys).orderBy("_block")
     shifted = borders.select(*keys, "_block", (F.lead("_v") if following else F.lag("_v")).over(across).alias("_far"))
-    joined = rows.join(shifted, [*keys, "_block"], "left")
-    return joined.select(*[rows[c] for c in df.columns], F.expr("if(_edge, _far, _near)").alias(out))
+    same = F.lit(True)
+    for k in [*keys, "_block"]:
+        same = same & F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
+    joined = rows.alias("l").join(shifted.alias("r"), same, "left")
+    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], F.expr("if(_edge, _far, _near)").alias(out))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:

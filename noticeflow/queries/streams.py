@@ -2,6 +2,8 @@
 the SQL is that of the batch result."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from noticeflow.plans.durable import shared_folder
 from noticeflow.queries import query, table
 from noticeflow.queries.messages import STORE, raw_messages
 from noticeflow.queries.personal_data import EMAIL
+from noticeflow.sources.sinks import write_batch
 from noticeflow.streaming import errors, idle, polling
 
 
@@ -42,12 +45,27 @@ def polled_messages(spark: SparkSession, sf: str) -> DataFrame:
     return polling.after_key(raw, max(key, again)).select("key", "sender", "title")
 
 
-def message_files(spark: SparkSession, raw: DataFrame, n: int) -> str:
-    """The store as ``n`` files of a folder and once more as ``n`` other ones, so that copies come in other batches."""
-    out = shared_folder(spark)
-    for copy in range(2):
-        raw.repartition(n, F.hash("MessageKey", F.lit(copy))).write.mode("append").parquet(f"{out}/messages")
-    return f"{out}/messages"
+def fed(parts: list[DataFrame], path: str, run: Callable[[], None]) -> None:
+    """Write each part to a folder of ``path``, as many files as it has partitions, and run the stream to the end of what is there.
+
+    Every part is a micro-batch of its own, and every run a restart from the checkpoint of the one before.
+    """
+    for n, part in enumerate(parts):
+        part.write.parquet(f"{path}/part={n}")
+        run()
+
+
+def drained_in_parts(parts: list[DataFrame], stream: Callable[[DataFrame], DataFrame], **options: str) -> DataFrame:
+    """What ``stream`` makes of the parts, one after the other, in a table that is read back."""
+    spark, out = parts[0].sparkSession, shared_folder(parts[0].sparkSession)
+    made = stream(spark.readStream.schema(parts[0].schema).options(**options).parquet(f"{out}/in/part=*"))
+
+    def run() -> None:
+        (made.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
+         .trigger(availableNow=True).start().awaitTermination())
+
+    fed(parts, f"{out}/in", run)
+    return spark.read.schema(made.schema).parquet(f"{out}/data")
 
 
 @query("delivered_once", f"""
@@ -56,22 +74,57 @@ WITH {STORE} SELECT key FROM store WHERE NOT deleted AND NOT bad
 def delivered_once(spark: SparkSession, sf: str) -> DataFrame:
     """Copies across micro-batches; receive dates span years and come in any order, and none is dropped as late."""
     raw = raw_messages(spark, sf)
-    stream = polling.read_messages(spark, message_files(spark, raw, 3), raw.schema, max_files=2)
-    return drained(polling.deliver_once(polling.after_key(stream, -1)).select("key"))
+    return drained_in_parts([raw, raw], lambda stream: polling.deliver_once(polling.after_key(stream, -1)).select("key"))
 
 
 @query("polled_stream", f"""
 WITH {STORE} SELECT CAST(key AS VARCHAR) AS origin FROM store WHERE NOT deleted AND NOT bad AND key > (SELECT max(key) // 2 FROM store)
 """)
 def polled_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The poll path as a stream: start key stored at the first run, files admitted a few a batch, copies across batches."""
+    """The poll path as a stream of files: start key stored at the first run, copies in another batch."""
     raw = raw_messages(spark, sf)
     old = raw.filter(F.col("MessageKey") <= raw.agg(F.floor(F.max("MessageKey") / 2)).scalar())
     state = f"{shared_folder(spark)}/start"
     polling.start_key(spark, old, state)
-    stream = polling.read_messages(spark, message_files(spark, raw, 3), raw.schema, max_files=2)
-    inputs = polling.stream_inputs(stream, polling.start_key(spark, raw, state))
-    return drained(inputs.select("origin_ref")).select(F.col("origin_ref").alias("origin"))
+    key = polling.start_key(spark, raw, state)
+    inputs = drained_in_parts([raw, raw], lambda stream: polling.stream_inputs(stream, key).select("origin_ref"))
+    return inputs.select(F.col("origin_ref").alias("origin"))
+
+
+def quarters(events: DataFrame) -> list[DataFrame]:
+    """The events in four parts, in order; a part keeps the table's partitions."""
+    top = events.agg(F.max("event_id")).scalar()
+    part = F.coalesce(F.floor(F.col("event_id") * 4 / (top + 1)), F.lit(0))
+    return [events.filter(part == q) for q in range(4)]
+
+
+@query("polled_by_key", f"""
+WITH {STORE}, m AS (SELECT max(key) AS top FROM store),
+     a AS (SELECT key, bad, key > top - top // 40 AS later FROM store, m WHERE NOT deleted AND key > top - top // 20),
+     n AS (SELECT *, (row_number() OVER (PARTITION BY later ORDER BY key) - 1) // 20 AS poll FROM a)
+SELECT CAST(key AS VARCHAR) AS origin, 1 + poll + CASE WHEN later THEN (SELECT max(poll) + 1 FROM n WHERE NOT later) ELSE 0 END AS poll FROM n WHERE NOT bad
+""")
+def polled_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The store as a keyed source: what was there is skipped, twenty messages a poll in order, and a restart goes on at the key."""
+    raw = raw_messages(spark, sf)
+    out = shared_folder(spark)
+    top = raw.agg(F.max("MessageKey")).scalar()
+    first, later, key = top - F.floor(top / 20), top - F.floor(top / 40), F.col("MessageKey")
+    steps = (key <= first, (key > first) & (key <= later), key > later)
+
+    def poll() -> None:
+        inputs = polling.polled_inputs(polling.poll_store(spark, f"{out}/store", raw.schema))
+        run = (inputs.select("origin_ref").writeStream.foreachBatch(lambda df, n: write_batch(df, f"{out}/inputs", n))
+               .option("checkpointLocation", f"{out}/state").trigger(processingTime="0 seconds").start())
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+
+    for step in steps:    # the store grows between two runs of the query
+        raw.filter(step).write.mode("append").parquet(f"{out}/store")
+        poll()
+    return spark.read.parquet(f"{out}/inputs").select(F.col("origin_ref").alias("origin"), F.col("batch_id").cast("long").alias("poll"))
 
 
 @query("forced_fetch", f"""
@@ -118,14 +171,7 @@ def repeated_errors(spark: SparkSession, sf: str) -> DataFrame:
 @query("repeated_errors_stream", _SUPPRESSED)
 def repeated_errors_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Several micro-batches of the events in order, so that a source's last outcome crosses from one to the next."""
-    out = shared_folder(spark)
-    events = table(spark, sf, "events")
-    top = events.agg(F.max("event_id")).scalar()
-    for q in range(4):    # one write after the other, as files of a stream are read by their age
-        events.filter(F.floor(F.col("event_id") * 4 / (top + 1)) == q).coalesce(1).write.mode("append").parquet(f"{out}/events")
-    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/events").selectExpr(*_POLLS))
-    errors.suppress_repeats_stream(stream, f"{out}/fresh", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/fresh").select("source", "seq", "error")
+    return drained_in_parts(quarters(table(spark, sf, "events")), lambda stream: errors.suppress_repeats_stream(stream.selectExpr(*_POLLS)))
 
 
 @query("dead_letters", """
@@ -182,6 +228,22 @@ def sleeping_sessions_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_sessions(drained(idle.activity_sessions(stream_of(spark, sf, "events"), 30)))
 
 
+@query("activity_states_stream", """
+WITH g AS (SELECT user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS pause FROM events
+           WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+     c AS (SELECT user_id, ts AS t, 'idle' AS state FROM g WHERE gap IS NULL OR gap >= 300000000
+           UNION ALL SELECT user_id, ts + INTERVAL 5 MINUTE, 'bored' FROM g WHERE pause IS NULL OR pause >= 300000000
+           UNION ALL SELECT user_id, ts + INTERVAL 30 MINUTE, 'sleeping' FROM g WHERE pause IS NULL OR pause >= 1800000000)
+SELECT user_id, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS changed, state FROM c
+""")
+def activity_states_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """State changes over restarts; after the last event of all only the clock goes on, and every user falls asleep."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    tick = events.agg(F.max("ts").alias("ts")).selectExpr("-1L AS event_id", "cast(null as bigint) AS user_id", "ts + INTERVAL 1 HOUR AS ts")
+    made = drained_in_parts([*quarters(events), tick], lambda stream: idle.activity_states(stream.filter("event_id >= 0"), stream.filter("event_id < 0")))
+    return made.selectExpr("user_id", "date_format(at, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS changed", "state")
+
+
 @query("masked_stream", f"SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents")
 def masked_stream(spark: SparkSession, sf: str) -> DataFrame:
     found = mask(stream_of(spark, sf, "documents"), rules=["email"]).selectExpr("doc_id", "inline(spans)")

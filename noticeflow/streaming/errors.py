@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from noticeflow.operators.inputs import route, split_errors
 from noticeflow.operators.neighbours import neighbour
@@ -21,29 +23,34 @@ def suppress_repeats(polls: DataFrame, source: str = "source", seq: str = "seq",
     return with_before.filter("_e <> '' AND _e <> coalesce(_before, '')").select(*polls.columns)
 
 
-def suppress_repeats_stream(polls: DataFrame, path: str, checkpoint: str, source: str = "source", seq: str = "seq",
-                            error: str = "error"):
-    """The same for a stream, as a writer to ``path``; the last outcome of each source is all that is kept between batches.
+def suppress_repeats_stream(polls: DataFrame, source: str = "source", seq: str = "seq", error: str = "error",
+                            forget: str = "30 days") -> DataFrame:
+    """The same for a stream: (source, seq, error) of errors that differ from the outcome of the poll before.
 
-    A batch is compared inside with built-in functions, in blocks of a source; only the first row of a source meets the
-    outcome that the batch before has stored.  A replayed batch starts from the same stored outcomes and replaces its rows.
+    The state store holds one value a source, its last outcome, and drops it when the source has been silent for ``forget`` by
+    the time of arrival (the clock of the batches); a batch costs what it brings, however many sources are known.  A source's
+    polls must come in order from batch to batch; inside a batch they are put in order, for which a source's numbers and errors
+    of one batch must fit a task: bound the batches.
     """
-    def batch(df: DataFrame, batch_id: int) -> None:
-        spark, kept = df.sparkSession, f"{path}_outcomes"
-        rows = durable(neighbour(df.select(source, seq, error).withColumn("_e", F.coalesce(error, F.lit(""))), [source], seq, "_e",
-                                 f"floor({seq} / {BLOCK})", "_before"))
-        ends = rows.groupBy(source).agg(F.max_by("_e", seq).alias("_last"))
-        if batch_id:
-            known = spark.read.parquet(f"{kept}/batch_id={batch_id - 1}")
-            rows = rows.join(known.withColumnRenamed("_last", "_known"), source, "left")
-            ends = known.join(ends, source, "left_anti").unionByName(ends)
-        else:
-            rows = rows.withColumn("_known", F.lit(None).cast("string"))
-        fresh = rows.filter("_e <> '' AND _e <> coalesce(_before, _known, '')").select(source, seq, error)
-        ends.write.mode("overwrite").parquet(f"{kept}/batch_id={batch_id}")
-        write_batch(fresh, path, batch_id)
+    silent = int(pd.Timedelta(forget).total_seconds() * 1000)
+    rows = polls.select(F.col(source).alias("source"), F.col(seq).cast("long").alias("seq"), F.coalesce(error, F.lit("")).alias("error"),
+                        F.current_timestamp().alias("arrived")).withWatermark("arrived", "1 hour")
+    kind = rows.schema["source"].dataType.simpleString()
+
+    def fresh(key, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        got = pd.concat(list(parts), ignore_index=True).sort_values("seq", kind="stable")
+        before = got["error"].shift(1)
+        before.iloc[0] = state.get[0] if state.exists else ""
+        state.update((got["error"].iloc[-1],))
+        state.setTimeoutTimestamp(int(got["arrived"].max().timestamp() * 1000) + silent)
+        yield got[(got["error"] != "") & (got["error"] != before)][["source", "seq", "error"]]
 
-    return polls.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    found = rows.groupBy("source").applyInPandasWithState(fresh, f"source {kind}, seq long, error string", "last string", "append",
+                                                          GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col("source").alias(source), F.col("seq").alias(seq), F.col("error").alias(error))
 
 
 def process_inputs(inputs: DataFrame, work: Callable[[DataFrame], DataFrame], results_path: str, dead_path: str,

@@ -1,13 +1,16 @@
 """Message polling as a stream, with a stored start key and exactly-once delivery by key."""
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from noticeflow.operators.inputs import messages_to_inputs
 from noticeflow.sources.messages import (latest_key, latest_messages, messages_after, require_columns,
                                          to_messages)
+from noticeflow.streaming import message_store
 
 # ---- fixed values
 DEFAULT_POLL_SECONDS, MIN_POLL_SECONDS = 30, 5
@@ -25,6 +28,23 @@ def read_messages(spark: SparkSession, path: str, schema: str, max_files: int =
             .parquet(path))
 
 
+def poll_store(spark: SparkSession, path: str, schema: str | StructType, rows: int = MAX_PER_POLL, skip_existing: bool = True) -> DataFrame:
+    """Raw messages of a store as a stream: ``rows`` of them a poll in the order of their keys, from the largest key present at the
+    first run on (from the first message with ``skip_existing`` off).  The place is the key in the query's checkpoint, and deleted
+    messages neither come nor count.  Poll with :func:`poll_trigger`; ``availableNow`` makes one poll.
+    """
+    cloudpickle.register_pickle_by_value(message_store)    # the source's workers need not have this package installed
+    spark.dataSource.register(message_store.MessageStore)
+    raw = (spark.readStream.format("message_store").schema(schema).option("path", path).option("rows", rows)
+           .option("skip_existing", str(skip_existing).lower()).load())
+    return require_columns(raw).filter("DeletedDate IS NULL") if "DeletedDate" in raw.columns else require_columns(raw)
+
+
+def polled_inputs(raw: DataFrame, history_chars: int | None = None) -> DataFrame:
+    """Polled raw messages to input rows; a message without text and title is none."""
+    return messages_to_inputs(to_messages(raw), history_chars)
+
+
 def start_key(spark: SparkSession, raw: DataFrame, state_path: str, skip_existing: bool = True) -> int:
     """Largest key present at the first run (0 when existing messages are wanted), stored once and reused."""
     try:

@@ -123,3 +123,107 @@ def test_unsupported_files_are_never_opened(spark, tmp_path):
         assert [(r.name, r.length) for r in bad.collect()] == [("clip.mp4", 5000)] and "content" not in bad.columns
     finally:
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+
+
+def polled(spark, folder, rows=3, fail_at=None, **options):
+    """Poll the store to its end and return the keys of each batch; with ``fail_at`` that batch fails once."""
+    out = []
+
+    def batch(df, n):
+        if n == fail_at:
+            raise ValueError("fell over")
+        out.append(sorted(r.MessageKey for r in df.collect()))
+
+    run = (polling.poll_store(spark, str(folder / "store"), RAW, rows, **options).writeStream.foreachBatch(batch)
+           .option("checkpointLocation", str(folder / "state")).trigger(processingTime="0 seconds").start())
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return [b for b in out if b]
+
+
+def stored_messages(spark, folder, keys, deleted=()):
+    rows = [(k, "s", "2026/07/16 17:04:52", "t", "b", 0, "x" if k in deleted else None) for k in keys]
+    spark.createDataFrame(rows, RAW).repartition(2).write.mode("append").parquet(str(folder / "store"))
+
+
+def test_polls_start_at_the_end_and_go_on_after_a_restart(spark, tmp_path):
+    stored_messages(spark, tmp_path, [1, 2, 9])
+    assert polled(spark, tmp_path) == []
+    stored_messages(spark, tmp_path, [5, 10, 11, 12, 13, 14, 15, 16], deleted=[11, 16])
+    assert polled(spark, tmp_path) == [[10, 12, 13], [14, 15]]
+    assert polled(spark, tmp_path) == []
+    stored_messages(spark, tmp_path, [20, 18, 19, 17])
+    assert polled(spark, tmp_path) == [[17, 18, 19], [20]]
+
+
+def test_a_poll_that_fell_over_is_read_again(spark, tmp_path):
+    stored_messages(spark, tmp_path, range(1, 8))
+    with pytest.raises(Exception, match="fell over"):
+        polled(spark, tmp_path, fail_at=1, skip_existing=False)
+    stored_messages(spark, tmp_path, [8])
+    assert polled(spark, tmp_path, skip_existing=False) == [[4, 5, 6], [7, 8]]
+
+
+def test_the_next_keys_need_few_groups(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql.types import StructType
+    from noticeflow.streaming.message_store import StoreReader
+
+    (tmp_path / "_temporary").mkdir()
+    pq.write_table(pa.table({"MessageKey": pa.array([1])}), tmp_path / "_temporary" / "part.parquet")
+    pq.write_table(pa.table({"MessageKey": pa.array(range(100, 200))}), tmp_path / "a.parquet", row_group_size=10)
+    pq.write_table(pa.table({"MessageKey": pa.array([None, *range(0, 50)])}), tmp_path / "b.parquet", write_statistics=False)
+    reader, read = StoreReader(str(tmp_path), 5, False, StructType()), []
+    keys = reader._keys
+    monkeypatch.setattr(reader, "_keys", lambda *a: read.append(a[:2]) or keys(*a))
+    assert reader.latestOffset() == {"key": 4} and len(read) == 1
+    reader.partitions({"key": None}, {"key": 119})
+    assert reader.latestOffset() == {"key": 124} and len(read) == 3
+    reader.partitions({"key": 119}, {"key": 199})
+    assert reader.latestOffset() == {"key": 199}
+    assert StoreReader(str(tmp_path), 5, True, StructType()).initialOffset() == {"key": 199}
+    assert StoreReader(str(tmp_path / "none"), 5, True, StructType()).initialOffset() == {"key": 0}
+
+
+def in_runs(spark, folder, schema, runs, stream):
+    """Rows that a stream gives over several runs, each of which finds one more file and the checkpoint of the one before."""
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        made = stream(spark.readStream.schema(schema).parquet(str(folder / "in")))
+        (made.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "state"))
+         .trigger(availableNow=True).start().awaitTermination())
+    return [tuple(r) for r in spark.read.schema(made.schema).parquet(str(folder / "out")).collect()]
+
+
+def test_the_last_outcome_of_a_source_crosses_batches(spark, tmp_path):
+    runs = [[("a", 2, "x"), ("a", 1, "x"), ("b", 1, None), ("c", 1, "y")], [("a", 3, "x"), ("a", 4, ""), ("b", 2, "x")],
+            [("a", 5, "x"), ("c", 2, "z"), ("b", 3, "x"), ("c", 3, "z"), (None, 1, "x")], [(None, 2, "x")]]
+    got = in_runs(spark, tmp_path, "source string, seq long, error string", runs, errors.suppress_repeats_stream)
+    assert sorted(got, key=str) == sorted([("a", 1, "x"), ("a", 5, "x"), ("b", 2, "x"), ("c", 1, "y"), ("c", 2, "z"), (None, 1, "x")], key=str)
+
+
+def test_timers_and_events_out_of_order(spark, tmp_path):
+    from datetime import datetime, timedelta
+    from noticeflow.streaming import idle
+
+    def at(minute):
+        return datetime(2026, 7, 16, 12) + timedelta(minutes=minute)
+
+    runs = [[("a", at(0)), ("a", at(2)), ("b", at(1))], [("a", at(14)), (None, at(13)), (None, None)], [("a", at(8)), ("b", at(33))], [("clock", at(200))]]
+    streams = lambda s: idle.activity_states(s.filter("coalesce(user_id, '') <> 'clock'"), s.filter("user_id = 'clock'"), delay="20 minutes")
+    got = in_runs(spark, tmp_path, "user_id string, ts timestamp", runs, streams)
+    want = [("a", 0, "idle"), ("a", 7, "bored"), ("a", 8, "idle"), ("a", 13, "bored"), ("a", 14, "idle"), ("a", 19, "bored"), ("a", 44, "sleeping"),
+            ("b", 1, "idle"), ("b", 6, "bored"), ("b", 31, "sleeping"), ("b", 33, "idle"), ("b", 38, "bored"), ("b", 63, "sleeping"),
+            (None, 13, "idle"), (None, 18, "bored"), (None, 43, "sleeping")]
+    assert sorted(got, key=str) == sorted([(u, at(m), s) for u, m, s in want], key=str)
+
+
+def test_borders_of_a_null_group(spark):
+    from noticeflow.operators.neighbours import neighbour
+
+    rows = spark.createDataFrame([(k, i, str(i)) for k in (None, "a") for i in range(4)], "k string, i int, v string")
+    got = neighbour(rows, ["k"], "i", "v", "i div 2", "before").collect()
+    assert {(r.k, r.i): r.before for r in got} == {(k, i): str(i - 1) if i else None for k in (None, "a") for i in range(4)}

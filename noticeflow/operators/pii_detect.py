@@ -147,7 +147,7 @@ def rule_spans(text: str, families: Iterable[str] = FAMILIES, rules: Iterable[st
                 arrays.append(f"if({facts}.hangul, {_roster_spans(x)}, {NO_SPANS})")
             arrays += [_rule_spans(x, r, first + i, facts) for i, r in enumerate(block)
                        if named is None or r.name in named]
-        return f"concat({', '.join(arrays)})"
+        return f"concat({', '.join(arrays)})" if arrays else NO_SPANS
 
     return let(S.searchable(f"coalesce({text}, '')"), lambda x: let(_facts(x), lambda facts: by_rule(x, facts)))
 

@@ -14,7 +14,7 @@ from noticeflow.plans.durable import shared_folder
 from noticeflow.queries import query, table
 from noticeflow.queries.messages import STORE, raw_messages
 from noticeflow.queries.personal_data import EMAIL
-from noticeflow.sources.sinks import write_batch
+from noticeflow.sources.sinks import published, write_batch
 from noticeflow.streaming import errors, idle, polling
 
 
@@ -187,10 +187,10 @@ def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     def work(good: DataFrame) -> DataFrame:
         return good.selectExpr("input_id", "if(k = 2, 'cannot parse', null) AS error")
 
-    writer = errors.process_inputs(inputs, work, f"{out}/results", f"{out}/dead", f"{out}/state")
+    writer = errors.process_inputs(inputs, work, f"{out}/done", f"{out}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
-    good = spark.read.parquet(f"{out}/results").selectExpr("input_id", "'ok' AS outcome")
-    return good.unionByName(spark.read.parquet(f"{out}/dead").selectExpr("input_id", "error AS outcome"))
+    good = published(spark, f"{out}/done", "results", "input_id string").selectExpr("input_id", "'ok' AS outcome")
+    return good.unionByName(published(spark, f"{out}/done", "dead", "input_id string, error string").selectExpr("input_id", "error AS outcome"))
 
 
 @query("idle_gaps", """

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from noticeflow.operators.inputs import route, split_errors
 from noticeflow.operators.neighbours import neighbour
 from noticeflow.plans.durable import durable
-from noticeflow.sources.sinks import write_batch
+from noticeflow.sources.sinks import publish
 
 BLOCK = 65_536
 
@@ -53,12 +53,12 @@ def suppress_repeats_stream(polls: DataFrame, source: str = "source", seq: str =
     return found.select(F.col("source").alias(source), F.col("seq").alias(seq), F.col("error").alias(error))
 
 
-def process_inputs(inputs: DataFrame, work: Callable[[DataFrame], DataFrame], results_path: str, dead_path: str,
-                   checkpoint: str):
-    """Stream writer: every input is handled on its own; rows with an error become dead letters.
+def process_inputs(inputs: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Stream writer: every input is handled on its own; rows with an error become dead letters and the stream goes on.
 
     ``work`` maps good inputs to results and marks its own failures in an ``error`` column, if it has one.  Its result is
-    made durable before it is split, so that it runs once a batch and an input ends in one of the two tables.
+    made durable before it is split, so that it runs once a batch and an input ends in one of the two tables.  ``results`` and
+    ``dead`` (input_id, error) of a batch are published together at ``path``: read them by :func:`published`.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
         good, bad = split_errors(route(df))
@@ -67,7 +67,6 @@ def process_inputs(inputs: DataFrame, work: Callable[[DataFrame], DataFrame], re
         if "error" in done.columns:
             dead = dead.unionByName(done.filter("error IS NOT NULL").select("input_id", "error"))
             done = done.filter("error IS NULL").drop("error")
-        write_batch(done, results_path, batch_id)
-        write_batch(dead, dead_path, batch_id)
+        publish(path, batch_id, results=done, dead=dead)
 
     return inputs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

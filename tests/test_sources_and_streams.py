@@ -246,3 +246,33 @@ def test_half_a_batch_is_never_seen(spark, tmp_path):
     assert sinks.publish(path, 1, results=good.limit(1), dead=fine)
     assert not sinks.publish(path, 1, results=good, dead=fine)
     assert seen("results", "id bigint") == [(0, 0), (0, 1), (1, 0), (2, 0)] and len(seen("dead", "id bigint, error string")) == 4
+
+
+@pytest.mark.parametrize("at_once", [1, 3])
+def test_a_task_that_dies_pays_only_for_what_was_not_written(spark, tmp_path, at_once):
+    log, ledger = str(tmp_path / "calls"), str(tmp_path / "ledger")
+
+    def client_that_dies(after):
+        def make():
+            def client(prompt):
+                import os
+                with open(log, "a") as f:
+                    f.write(prompt + "\n")
+                if after and len(open(log).read().split()) == after:
+                    os._exit(1)
+                if prompt == "p7":
+                    raise ValueError("boom")
+                return prompt.upper()
+            return client
+        return make
+
+    df = spark.createDataFrame([(i, f"p{i % 30}") for i in range(40)], "input_id int, prompt string").coalesce(1)
+    with pytest.raises(Exception):
+        complete(df, client_that_dies(17), ledger=ledger, buckets=1, at_once=at_once).collect()
+    got = {r.input_id: (r.raw, r.error) for r in complete(df, client_that_dies(0), ledger=ledger, buckets=1, at_once=at_once).collect()}
+    assert got == {i: (None, "ValueError: boom") if i % 30 == 7 else (f"P{i % 30}", None) for i in range(40)}
+    calls = open(log).read().split()
+    paid_again = len(calls) - 30 - sum(c == "p7" for c in calls) + 1
+    assert 1 <= paid_again <= at_once
+    complete(df.filter("input_id <> 7 AND input_id <> 37"), client_that_dies(0), ledger=ledger, buckets=1).collect()
+    assert len(open(log).read().split()) == len(calls)

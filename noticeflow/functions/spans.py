@@ -84,16 +84,22 @@ def choose(spans: str) -> str:
         return f"if(size({run}) < 2, {run}, aggregate(array_sort({run}), {empty(_RANKED)}, {fn(keep, 'k', 's')}))"
 
     def step(acc: str, s: str) -> str:
-        closed = f"named_struct('run', array({rank(s)}), 'reach', {s}.end, 'out', concat({acc}.out, {decide(acc + '.run')}))"
-        grown = (f"named_struct('run', array_append({acc}.run, {rank(s)}), 'reach', greatest({acc}.reach, {s}.end), "
-                 f"'out', {acc}.out)")
-        return f"if({s}.start >= {acc}.reach, {closed}, {grown})"
+        """Places at which a run begins: a span that starts where all before it have ended."""
+        return (f"named_struct('reach', greatest({acc}.reach, {s}.end), 'at', {acc}.at + 1, "
+                f"'out', if({s}.start >= {acc}.reach, array_append({acc}.out, {acc}.at), {acc}.out))")
+
+    def runs(ordered: str, begins: str) -> str:
+        end = lambda i: f"coalesce(get({begins}, {i} + 1), size({ordered}))"
+        run = fn(lambda b, i: let(f"slice({ordered}, {b} + 1, {end(i)} - {b})", decide), "b", "i")
+        return f"flatten(transform({begins}, {run}))"
 
     def resolve(found: str) -> str:
-        chosen = let(f"array_sort({found})", lambda ordered: fold(
-            ordered, {"run": empty(_RANKED), "reach": "0"}, _RANKED, step, lambda acc: f"concat({acc}.out, {decide(acc + '.run')})"))
+        def chosen(ordered: str) -> str:
+            begins = fold(ordered, {"reach": "0", "at": "0"}, "array<int>", step)
+            return let(begins, lambda at: let(f"transform({ordered}, {fn(rank)})", lambda ranked: runs(ranked, at)))
+
         back = fn(lambda r: span(f"{r}.start", f"{r}.end", f"{r}.label", f"{r}.rule", f"-{r}.p", f"{r}.ord",
                                  f"{r}.confidence"))
-        return f"if(size({found}) < 2, {found}, array_sort(transform({chosen}, {back})))"
+        return f"if(size({found}) < 2, {found}, array_sort(transform({let(f'array_sort({found})', chosen)}, {back})))"
 
     return let(spans, resolve)

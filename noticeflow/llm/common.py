@@ -1,7 +1,9 @@
 """Helpers shared by the operators: carried columns, stored intermediate tables, joins that survive a hot key."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,19 +13,43 @@ from noticeflow.plans.durable import shared_folder
 SPACE = r"\\x20\\x09-\\x0D"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder (``path``: a folder of it) and read it back.
 
     The lineage ends at files that every executor sees, so a lost executor costs only the tasks that it ran, and a table
     that is used several times is computed once.  Columns without a type become strings.
     """
     typed = df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.NullType)
                         else F.col(f"`{f.name}`") for f in df.schema.fields])
-    path = shared_folder(df.sparkSession)
+    path = path or shared_folder(df.sparkSession)
     typed.write.parquet(path)
     return df.sparkSession.read.schema(typed.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables that go when the work is done.
+
+    What is returned must not be read from them.  The shuffle files of plans that no one holds any more go with them, as soon as
+    the driver's JVM has collected these plans.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.paths.append(shared_folder(self.spark))
+        return stored(df, f"{self.paths[-1]}/t")
+
+    def drop(self, keep: int = 0) -> None:
+        """Delete the tables stored since there were ``keep`` of them, and let the JVM collect the plans of finished jobs."""
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        while len(self.paths) > keep:
+            folder = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            folder.getFileSystem(conf).delete(folder, True)
+        gc.collect()
+        jvm.System.gc()
+
+
 def packed(df: DataFrame, carry: list[str] | None, **columns: str) -> DataFrame:
     """``_row`` (a struct of the carried columns, all by default) and the named columns under internal names.
 

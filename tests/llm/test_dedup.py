@@ -176,7 +176,7 @@ def near_brute(texts):
 
 
 @pytest.mark.parametrize("common", [2, 1000])
-@pytest.mark.parametrize("rounds", [0, 2])
+@pytest.mark.parametrize("rounds", [(), (1, 4)])
 def test_near_copies_equal_brute_force(spark, monkeypatch, common, rounds):
     monkeypatch.setattr("noticeflow.llm.near_copies.COMMON", common)
     monkeypatch.setattr("noticeflow.llm.near_copies.ROUNDS", rounds)

@@ -177,3 +177,14 @@ def test_the_archive_query_fails_on_a_damaged_payload(spark, tmp_path, monkeypat
     monkeypatch.setattr(queries, "archive_pages", lambda df: whole(df).withColumn("intact", F.lit(False)))
     with pytest.raises(Exception, match="damaged"):
         queries.op10_warc(spark, str(tmp_path)).collect()
+
+
+def test_near_stage_of_an_empty_table_and_of_columns_named_like_its_own(spark, make):
+    assert corpus_pipeline.near_stage(spark, make([]), "").count() == 0
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = make([(1, text), (2, text + " end"), (3, None), (None, "other")])
+    for name in ("_key", "_root", "_first", "_part", "_size"):
+        docs = docs.withColumn(name, F.lit(name))
+    kept = corpus_pipeline.near_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r._key, r._root) for r in kept.collect()) == [(0, "_key", "_root"), (1, "_key", "_root"), (3, "_key", "_root")]

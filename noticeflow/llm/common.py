@@ -42,9 +42,13 @@ class Scratch:
 
     def drop(self, keep: int = 0) -> None:
         """Delete the tables stored since there were ``keep`` of them, and let the JVM collect the plans of finished jobs."""
+        self.drop_these(self.paths[keep:])
+
+    def drop_these(self, paths: list[str]) -> None:
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        while len(self.paths) > keep:
-            folder = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+        for path in paths:
+            self.paths.remove(path)
+            folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(conf).delete(folder, True)
         gc.collect()
         jvm.System.gc()

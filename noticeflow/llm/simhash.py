@@ -17,6 +17,15 @@ BITS = 64
 SEED = 42
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if it is set in over half of them."""
+    votes = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        part = np.unpackbits(hashes[i:i + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, BITS)
+        votes += part.sum(0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int) -> int:
     """A bit is 1 if it is set in over half of the shingles' hashes; repeats count.
 
@@ -35,11 +44,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
     of = xxhash.xxh64_intdigest
     hashes = np.array([of(joined[a:b], SEED) for a, b in zip(starts[:len(words) - shingle + 1].tolist(),
                                                              ends[shingle - 1:].tolist())], np.uint64)
-    votes = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = np.unpackbits(hashes[i:i + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, BITS)
-        votes += part.sum(0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+    return majority(hashes)
 
 
 def fingerprints(df: DataFrame, shingle: int = 3) -> DataFrame:

@@ -188,3 +188,17 @@ def test_near_stage_of_an_empty_table_and_of_columns_named_like_its_own(spark, m
     kept = corpus_pipeline.near_stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r._key, r._root) for r in kept.collect()) == [(0, "_key", "_root"), (1, "_key", "_root"), (3, "_key", "_root")]
+
+
+def test_near_stage_compares_texts_whose_simhash_fingerprints_are_close(spark, make, monkeypatch):
+    """Texts that share a passage only are not compared; near copies are."""
+    from noticeflow.llm import near_copies
+    compared = []
+    whole = near_copies._near
+    monkeypatch.setattr(near_copies, "_near", lambda pairs, *rest: (compared.append(pairs.count()), whole(pairs, *rest))[1])
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(150))) for i in range(40)]
+    rows.append((100, rows[7][1] + " end"))
+    kept = corpus_pipeline.near_stage(spark, make(rows), "").collect()
+    assert sorted(x.doc_id for x in kept) == [*range(40)]
+    assert sum(compared) <= 20

@@ -9,6 +9,7 @@ from noticeflow.operators import items as I
 from noticeflow.operators import responses as R
 from noticeflow.operators.completion import complete_with_retries
 from noticeflow.plans import paths
+from noticeflow.plans.spread import spread
 from noticeflow.queries import query, table
 
 _ITEM = "'{\"title\": \"t' || c_custkey || '\", \"date\": \"2026-09-0' || (c_custkey % 9 + 1) || '\"}'"
@@ -30,7 +31,7 @@ _JSON_FORMS = [
 @query("json_extraction", f"SELECT c_custkey, {_case(10, [str(n) for _, n in _JSON_FORMS])} AS n_items, "
        f"CASE WHEN {_case(10, [str(n) for _, n in _JSON_FORMS])} > 0 THEN 't' || c_custkey ELSE '' END AS title FROM customer")
 def json_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").selectExpr(
+    rows = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey", f"{_case(10, [f for f, _ in _JSON_FORMS])} AS raw", "date'2026-08-28' AS reference_date", "'s' AS source")
     return R.parse_responses(rows).selectExpr(
         "c_custkey", "if(error IS NULL, size(items), -1) AS n_items", "coalesce(get(items, 0).title, '') AS title")
@@ -46,7 +47,7 @@ _ROW_FORMS = [
 @query("response_rows", f"SELECT c_custkey, {_case(8, [str(n) for _, n, _ in _ROW_FORMS])} AS n_items, "
        f"{_case(8, [str(s) for _, _, s in _ROW_FORMS])} AS skipped FROM customer")
 def response_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").selectExpr(
+    rows = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey", f"{_case(8, [f for f, _, _ in _ROW_FORMS])} AS raw", "date'2026-08-28' AS reference_date", "'s' AS source")
     return R.parse_responses(rows).selectExpr("c_custkey", "size(items) AS n_items", "skipped")
 
@@ -59,7 +60,7 @@ def row_validation(spark: SparkSession, sf: str) -> DataFrame:
            "0.5D + (c_custkey % 10) / 20.0D, '\", \"x\": 1}, {\"title\": \" \", \"date\": \"2026-09-01\"}, {\"title\": 5, "
            "\"date\": \"2026-09-01\"}, {\"title\": \"n\", \"date\": \"2026-09-01\", \"time\": 7}, {\"title\": \"n\", \"date\": "
            "\"2026-09-01\", \"confidence\": \"high\"}, \"text\", {\"title\": \"no date\"}]}')")
-    rows = table(spark, sf, "customer").selectExpr(
+    rows = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey", f"{raw} AS raw", "date'2026-08-28' AS reference_date", "'s' AS source")
     return R.parse_responses(rows).selectExpr(
         "c_custkey", "items[0].title AS title", "items[0].confidence AS confidence", "skipped")
@@ -81,7 +82,7 @@ def date_parsing(spark: SparkSession, sf: str) -> DataFrame:
             "WHEN 3 THEN date_format(d, 'yyyy/MM/dd') WHEN 4 THEN date_format(d, 'M/d') "
             "WHEN 5 THEN concat(date_format(d, 'M'), '월 ', date_format(d, 'd'), '일') "
             "WHEN 6 THEN concat(date_format(d, 'yyyy'), '-02-30') ELSE '언젠가' END")
-    rows = table(spark, sf, "orders").selectExpr("o_orderkey", "to_date(o_orderdate) AS d")
+    rows = spread(table(spark, sf, "orders")).selectExpr("o_orderkey", "to_date(o_orderdate) AS d")
     reference = "date'1999-06-15'"
     return rows.selectExpr("o_orderkey", f"{text} AS s").selectExpr(
         "o_orderkey", f"coalesce(string({parse_date('s', reference)}), '') AS date")
@@ -98,7 +99,7 @@ def time_parsing(spark: SparkSession, sf: str) -> DataFrame:
             f"WHEN 2 THEN concat(if(hour(ts) >= 12, '오후 ', '오전 '), {twelve}, '시 ', minute(ts), '분') "
             f"WHEN 3 THEN concat({twelve}, ':', date_format(ts, 'mm'), if(hour(ts) >= 12, ' PM', ' AM')) "
             "WHEN 4 THEN concat(hour(ts) + 24, ':00') ELSE 'All Day' END")
-    return table(spark, sf, "events").selectExpr("event_id", f"{text} AS s").selectExpr(
+    return spread(table(spark, sf, "events")).selectExpr("event_id", f"{text} AS s").selectExpr(
         "event_id", f"coalesce({parse_time('s')}, -1) AS minutes")
 
 
@@ -120,7 +121,7 @@ def item_normalisation(spark: SparkSession, sf: str) -> DataFrame:
     """Timed with end time, task, range, undated task, end before start, end date only, undated event (dropped) and an
     all-day task with an end time."""
     d = "date_format(o_orderdate, 'yyyy-MM-dd')"
-    raw = table(spark, sf, "orders").selectExpr(
+    raw = spread(table(spark, sf, "orders")).selectExpr(
         "o_orderkey", "date'1999-06-15' AS reference_date", "'s' AS source", "concat('t', o_orderkey) AS title",
         f"if(o_orderkey % 8 IN (3, 6), null, {d}) AS date",
         "CASE o_orderkey % 8 WHEN 0 THEN '오후 2시' WHEN 4 THEN '10:00' WHEN 5 THEN '14:00' WHEN 3 THEN '09:00' ELSE 'null' END AS time",
@@ -191,7 +192,7 @@ _TWO = ("'{\"scope\": \"' || CASE c_custkey % 4 WHEN 0 THEN ' Irrelevant ' WHEN
 
 
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").selectExpr(
+    return spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey", f"{_TWO} AS raw", "date'2026-06-08' AS reference_date", "'s' AS source",
         "concat(' 본문 ', c_custkey, ' ') AS text", "map('[이름1]', '김민수', '[전화1]', '010-1234-5678') AS mapping",
         "if(c_custkey % 3 = 0, '', '담임') AS persona", "c_custkey % 5 <> 0 AS skip")
@@ -238,9 +239,9 @@ SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 0
 """)
 def request_cues(spark: SparkSession, sf: str) -> DataFrame:
     """Inputs that ask for something but gave no item."""
-    inputs = table(spark, sf, "customer").selectExpr(
+    inputs = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey AS input_id", "if(c_custkey % 3 = 0, '오늘 날씨가 좋네요. 감사합니다.', '동아리 명단을 보내 주세요') AS text")
-    items = table(spark, sf, "customer").filter("c_custkey % 4 = 0").selectExpr("c_custkey AS input_id", "'x' AS title")
+    items = spread(table(spark, sf, "customer")).filter("c_custkey % 4 = 0").selectExpr("c_custkey AS input_id", "'x' AS title")
     return R.retry_candidates(inputs, items).selectExpr("input_id AS c_custkey")
 
 
@@ -251,7 +252,7 @@ FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '붙여넣은 텍스트'
              WHEN 2 THEN '인박스 항목(' || c_name || ')' ELSE c_name END AS n FROM customer)
 """)
 def no_items_notes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").selectExpr(
+    rows = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey", "element_at(array('text', 'coolm', 'inbox_task', 'file'), int(c_custkey % 4) + 1) AS kind",
         "concat(element_at(array('', '쿨메신저: ', '인박스: ', ''), int(c_custkey % 4) + 1), c_name) AS label",
         "if(c_custkey % 3 = 0, 'irrelevant', 'relevant') AS scope", "if(c_custkey % 2 = 0, 'r', '') AS reason",
@@ -283,7 +284,7 @@ def completion_hook(spark: SparkSession, sf: str) -> DataFrame:
             return '{"items": [{"title": "one", "date": "2026-09-01"}]}'
         return client
 
-    requests = table(spark, sf, "customer").selectExpr(
+    requests = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey AS input_id", "concat(c_custkey % 5, ' prompt') AS prompt", "'명단 제출해 주세요' AS text",
         "date'2026-08-28' AS reference_date")
     return complete_with_retries(requests, make_client).selectExpr(

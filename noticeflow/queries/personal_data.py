@@ -13,6 +13,7 @@ from noticeflow.operators import pii_detect as D
 from noticeflow.operators import pii_mask as M
 from noticeflow.operators.model_path import mask_strong
 from noticeflow.plans.paths import privacy_report
+from noticeflow.plans.spread import spread
 from noticeflow.queries import query, table
 
 K4 = "lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')"
@@ -50,7 +51,7 @@ def rule_query(name: str, parts: list, when: str = "TRUE"):
 
     @query(name, " UNION ALL ".join(selects))
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = table(spark, sf, "customer").selectExpr("c_custkey", f"{_spark(text)} AS text")
+        rows = spread(table(spark, sf, "customer")).selectExpr("c_custkey", f"{_spark(text)} AS text")
         return M.mask(rows).selectExpr(
             "c_custkey", "masked", "explode_outer(spans) AS s").selectExpr(
             "c_custkey", "masked", "coalesce(s.label, '') AS label", "coalesce(s.rule, '') AS rule",
@@ -124,7 +125,7 @@ SELECT c_custkey, '[이메일1] ' || CASE WHEN c_custkey % 2 = 0 THEN '[이메
 FROM customer
 """)
 def token_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").selectExpr(
+    rows = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey", "concat('a@x.org ', if(c_custkey % 2 = 0, 'a', concat('b', c_custkey)), '@x.org 10.0.0.1 a@x.org') AS text")
     return M.mask(rows).selectExpr(
         "c_custkey", "masked", "element_at(mapping, '[이메일1]') AS first_value",
@@ -135,7 +136,7 @@ def token_assignment(spark: SparkSession, sf: str) -> DataFrame:
 SELECT c_custkey, '김[이름2]님 ' || c_custkey || ' [이름9] [이름' AS restored FROM customer
 """)
 def restore_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").selectExpr(
+    rows = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey", "'[이름1]님 [전화1] [이름9] [이름' AS text",
         "map('[이름1]', '김[이름2]', '[이름2]', '틀림', '[전화1]', string(c_custkey)) AS mapping")
     return rows.selectExpr("c_custkey", f"{M.restore_text('text', 'mapping')} AS restored")
@@ -145,7 +146,7 @@ def restore_tokens(spark: SparkSession, sf: str) -> DataFrame:
 SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '이메일 2, IP 1' ELSE 'IP 1, 이메일 1' END AS summary FROM customer
 """)
 def label_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").selectExpr(
+    rows = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey", "if(c_custkey % 2 = 0, 'a@x.org 10.0.0.1 b@x.org', '10.0.0.1 b@x.org') AS text")
     return M.mask(rows).selectExpr("c_custkey", f"{M.summary('spans')} AS summary")
 
@@ -220,7 +221,7 @@ SELECT c_custkey, '3-2' AS compact, '12번' AS unit, '20315' AS five FROM custom
 def class_number_detection(spark: SparkSession, sf: str) -> DataFrame:
     """Context windows: the same numbers count only next to class words (34 characters to either side)."""
     far = "repeat('가나 ', 20)"
-    rows = table(spark, sf, "customer").selectExpr(
+    rows = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey", f"concat(if(c_custkey % 2 = 0, '명렬 3-2 출석 12번 좌석 20315', "
                      f"concat('명렬 ', {far}, '3-2 그리고 12번 또 20315 ', {far}, '좌석')), ' 끝') AS text")
     found = D.detect(rows, families=("class",)).selectExpr("c_custkey", "text", "inline(detections)").selectExpr(
@@ -309,7 +310,7 @@ SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '김민수' WHEN 1 THEN '박서
 FROM customer
 """)
 def span_trimming(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").selectExpr(
+    rows = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey", "CASE c_custkey % 4 WHEN 0 THEN '김민수님께' WHEN 1 THEN '박서연(' "
                      "WHEN 2 THEN concat('3월 ', c_custkey % 28 + 1, '일까지 ') ELSE concat(' (x', c_custkey, ').') END AS value",
         "CASE WHEN c_custkey % 4 < 2 THEN 'private_person' WHEN c_custkey % 4 = 2 THEN 'private_date' ELSE 'other' END AS label")
@@ -322,7 +323,7 @@ UNION ALL SELECT c_custkey, 'birth', '1985년 3월 12일' FROM customer WHERE c_
 """)
 def model_span_gates(spark: SparkSession, sf: str) -> DataFrame:
     """Model spans: a meeting date stays, a date behind a birth word is masked, unknown labels are dropped."""
-    rows = table(spark, sf, "customer").selectExpr(
+    rows = spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey", "concat('김민수 선생님, 회의는 1999년 9월 3일. ', if(c_custkey % 2 = 0, '생년월일은 ', '다음 모임은 '), "
                      "'1985년 3월 12일.') AS text")
     found = ("array(named_struct('label', 'private_person', 'start', 0, 'end', 3, 'score', 0.9D), "

@@ -199,3 +199,17 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, common, rounds):
     want = near_brute([t for _, t in rows])
     assert len(set(want)) < len(want) - 30
     assert [got.get(k - 500, k - 500) for k, _ in rows] == [rows[w][0] - 500 for w in want]
+
+
+def test_a_large_group_of_near_copies_makes_few_candidates(spark, monkeypatch):
+    """Texts that share a long passage and are too far apart cost a candidate each, not one for every two of them."""
+    from noticeflow.llm import near_copies
+    compared, whole = [], near_copies._near
+    monkeypatch.setattr(near_copies, "_near", lambda pairs, *rest: (compared.append(pairs.count()), whole(pairs, *rest))[1])
+    passage = " ".join(f"p{i}" for i in range(100))
+    rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(13))) for i in range(80)]
+    rows += [(200 + i, passage + " " + " ".join(f"v{i}x{j}" for j in range(9))) for i in range(3)]
+    got = {x.u: x.v for x in near_components(spark.createDataFrame(rows, "_key long, _text string")).collect()}
+    want = near_brute([t for _, t in rows])
+    assert {k: rows[w][0] for (k, _), w in zip(rows, want) if rows[w][0] != k} == got and got
+    assert sum(compared) <= 2 * len(rows)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +81,30 @@ def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     """
     part = F.pmod(F.hash(F.col(key)), F.lit(1 << 16)).alias("_part")
     return left.select("*", part).join(right.select("*", part), [key, "_part"], how).drop("_part")
+
+
+def marked(left: DataFrame, right: DataFrame, key: str, keep: Callable[[DataFrame], DataFrame] = stored, bits_per_row: int = 16,
+           max_words: int = 1 << 22) -> DataFrame:
+    """The rows of ``left`` and whether ``right`` may have their key (``_maybe``: never false if it has), without a shuffle of ``left``.
+
+    For large rows, before a join.  Three bits of one 64-bit word stand for each key of ``right``.  What is sent to all tasks has at
+    most ``max_words`` rows of 16 bytes (64 MB); beyond ``64 * max_words / bits_per_row`` keys more of the other rows are marked.
+    ``keep`` stores a table.
+    """
+    rows, words = right.count(), 1024
+    while words < min(max_words, rows * bits_per_row // 64):
+        words *= 2
+
+    def hashed(df: DataFrame) -> DataFrame:
+        mask = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(_h, {at}) & 63 as int))" for at in (24, 30, 36))
+        df = df.withColumn("_h", F.xxhash64(key))
+        return df.select("*", F.col("_h").bitwiseAND(F.lit(words - 1)).alias("_word"), F.expr(mask).alias("_mask")).drop("_h")
+
+    seen = keep(hashed(right.select(key)).groupBy("_word").agg(F.expr("bit_or(_mask)").alias("_seen")))
+    return hashed(left).join(F.broadcast(seen), "_word", "left").select(
+        *left.columns, F.expr("coalesce(_seen & _mask = _mask, false)").alias("_maybe"))
+
+
+def sifted(left: DataFrame, right: DataFrame, key: str, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """The rows of ``left`` that :func:`marked` marks: all whose key ``right`` has, and a few others."""
+    return marked(left, right, key, keep).filter("_maybe").drop("_maybe")

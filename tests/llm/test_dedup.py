@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from corpus_pipeline import near_stage
+from noticeflow.llm.common import sifted
 from noticeflow.llm.components import components
 from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.near_copies import near_components
@@ -213,3 +215,32 @@ def test_a_large_group_of_near_copies_makes_few_candidates(spark, monkeypatch):
     want = near_brute([t for _, t in rows])
     assert {k: rows[w][0] for (k, _), w in zip(rows, want) if rows[w][0] != k} == got and got
     assert sum(compared) <= 2 * len(rows)
+
+
+def test_texts_that_have_no_near_copy_are_not_shuffled(spark):
+    """Where the keys of the groups were too many to be broadcast, all texts went through the shuffle four times."""
+    rows = [(i, words(5000 + i, 1500) + f" own{i}") for i in range(150)]
+    rows = [(k, " ".join(f"{w}{k}" for w in t.split())) for k, t in rows]
+    rows += [(1000 + k, t + " end") for k, t in rows[:3]]
+    df = spark.createDataFrame(rows, "_key long, _text string").repartition(8).cache()
+    df.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = {x.u: x.v for x in near_components(df).collect()}
+        shuffled, before = written() - before, written()
+        stay = {x.doc_id for x in near_stage(spark, df.selectExpr("_key AS doc_id", "_text AS text"), "").collect()}
+        shuffled = max(shuffled, written() - before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        df.unpersist()
+    assert got == {1000: 0, 1001: 1, 1002: 2} and stay == set(range(150))
+    assert shuffled < 1.4 * 8 * sum(len(t.split()) - 4 for _, t in rows)
+
+
+def test_sifted_keeps_every_row_that_has_a_partner(spark):
+    rows = spark.range(20000).selectExpr("unhex(md5(string(id))) AS _key", "id")
+    got = {r.id for r in sifted(rows, rows.filter("id % 100 = 7"), "_key").collect()}
+    assert {i for i in range(20000) if i % 100 == 7} <= got and len(got) < 400
+    assert not sifted(rows, rows.filter("id < 0"), "_key").collect()

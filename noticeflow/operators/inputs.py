@@ -1,6 +1,8 @@
 """Shaping of inputs: labels, message and inbox rows, routing, caps, excerpts and prompts."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ def source_label(kind: str, payload: str, label: str = "null") -> str:
             f"WHEN {kind} = 'image' THEN '이미지' WHEN {kind} = 'text' THEN {line} ELSE '' END")
 
 
-def messages_to_inputs(messages: DataFrame, history_chars: int | None = None, channel: str = MESSAGE_LABEL) -> DataFrame:
-    """Messages with a title or body as input rows; relative dates count from the day of receipt."""
+def messages_to_inputs(messages: DataFrame, history_chars: int | None = None, channel: str = MESSAGE_LABEL,
+                       carry: Sequence[str] = ()) -> DataFrame:
+    """Messages with a title or body as input rows, and their columns ``carry``; relative dates count from the day of receipt."""
     rows = split_quotes(messages.filter(f"NOT ({is_blank('body')} AND {is_blank('title')})"))
     title = f"if({is_blank('title')}, '', concat(' — ', substring(title, 1, 20)))"
     label = f"concat('{channel}: ', if(coalesce(sender, '') = '', '?', sender), {title})"
@@ -34,7 +37,7 @@ def messages_to_inputs(messages: DataFrame, history_chars: int | None = None, ch
         F.expr("concat('coolm:', key)").alias("input_id"), F.lit("coolm").alias("kind"),
         F.expr(message_text("title", "sender", "received", "recent", "older", history_chars)).alias("text"),
         F.expr(label).alias("source_label"), F.to_date("received").alias("reference_date"),
-        F.col("key").cast("string").alias("origin_ref"))
+        F.col("key").cast("string").alias("origin_ref"), *carry)
 
 
 def inbox_to_inputs(tasks: DataFrame, run_date: str) -> DataFrame:

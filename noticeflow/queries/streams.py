@@ -105,7 +105,8 @@ WITH {STORE}, m AS (SELECT max(key) AS top FROM store),
 SELECT CAST(key AS VARCHAR) AS origin, 1 + poll + CASE WHEN later THEN (SELECT max(poll) + 1 FROM n WHERE NOT later) ELSE 0 END AS poll FROM n WHERE NOT bad
 """)
 def polled_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    """The store as a keyed source: what was there is skipped, twenty messages a poll in order, and a restart goes on at the key."""
+    """The store as a keyed source: what was there is skipped, twenty messages a poll in order, many polls a batch where as many are
+    behind, and a restart goes on at the key."""
     raw = raw_messages(spark, sf)
     out = shared_folder(spark)
     top = raw.agg(F.max("MessageKey")).scalar()
@@ -113,8 +114,8 @@ def polled_by_key(spark: SparkSession, sf: str) -> DataFrame:
     steps = (key <= first, (key > first) & (key <= later), key > later)
 
     def poll() -> None:
-        inputs = polling.polled_inputs(polling.poll_store(spark, f"{out}/store", raw.schema))
-        run = (inputs.select("origin_ref").writeStream.foreachBatch(lambda df, n: write_batch(df, f"{out}/inputs", n))
+        inputs = polling.polled_inputs(polling.poll_store(spark, f"{out}/store", raw.schema, polls=256))
+        run = (inputs.select("origin_ref", "Poll").writeStream.foreachBatch(lambda df, n: write_batch(df, f"{out}/inputs", n))
                .option("checkpointLocation", f"{out}/state").trigger(processingTime="0 seconds").start())
         try:
             run.processAllAvailable()
@@ -124,7 +125,7 @@ def polled_by_key(spark: SparkSession, sf: str) -> DataFrame:
     for step in steps:    # the store grows between two runs of the query
         raw.filter(step).write.mode("append").parquet(f"{out}/store")
         poll()
-    return spark.read.parquet(f"{out}/inputs").select(F.col("origin_ref").alias("origin"), F.col("batch_id").cast("long").alias("poll"))
+    return spark.read.parquet(f"{out}/inputs").select(F.col("origin_ref").alias("origin"), F.col("Poll").alias("poll"))
 
 
 @query("forced_fetch", f"""

@@ -5,6 +5,8 @@ IsUnRead and DeletedDate.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,13 @@ def receive_date(s: str) -> str:
     return f"if({shape}, try_cast(replace({head}, '/', '-') as timestamp_ntz), null)"
 
 
-def to_messages(raw: DataFrame) -> DataFrame:
-    """Typed messages; rows without a readable receive date are dropped, nulls become ''."""
+def to_messages(raw: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Typed messages; rows without a readable receive date are dropped, nulls become ''.  Columns ``carry`` stay as they are."""
     unread = "coalesce(cast(IsUnRead as boolean), false)" if "IsUnRead" in raw.columns else "false"
     return raw.selectExpr(
         "cast(MessageKey as bigint) AS key", "coalesce(Sender, '') AS sender",
         f"{receive_date('ReceiveDate')} AS received", "coalesce(Title, '') AS title",
-        "coalesce(MessageText, '') AS body", f"{unread} AS is_unread").filter("received IS NOT NULL")
+        "coalesce(MessageText, '') AS body", f"{unread} AS is_unread", *carry).filter("received IS NOT NULL")
 
 
 def _stored(raw: DataFrame) -> DataFrame:

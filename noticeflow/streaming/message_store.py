@@ -2,11 +2,13 @@
 
 ``spark.dataSource.register(MessageStore)`` makes the format ``message_store``.  A query starts at the largest key present (or at the
 first message), takes a bounded number of rows at each poll in the order of their keys, and keeps its place in the checkpoint: a
-restart goes on after the last key, and a batch that was under way is read again with the same rows.
+restart goes on after the last key, and a batch that was under way is read again with the same rows.  Where many polls are behind, a
+micro-batch may take several of them; each row then tells the number of its poll.
 """
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -16,16 +18,16 @@ import pyarrow.parquet as pq
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-KEY, DELETED = "MessageKey", "DeletedDate"
+KEY, DELETED, POLL = "MessageKey", "DeletedDate", "Poll"
 #: Rows of a row group that are looked at together.
 BATCH = 65_536
 
 
 class Groups(InputPartition):
-    """Some row groups of one file, and the keys wanted: after ``start`` up to ``end``."""
+    """Some row groups of one file, and the keys wanted: after ``start`` up to ``end``; the last keys of polls and how many were before."""
 
-    def __init__(self, path: str, groups: list[int], start: int | None, end: int):
-        self.path, self.groups, self.start, self.end = path, groups, start, end
+    def __init__(self, path: str, groups: list[int], start: int | None, end: int, before: int = 0, ends: Sequence[int] = ()):
+        self.path, self.groups, self.start, self.end, self.before, self.ends = path, groups, start, end, before, ends
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -49,10 +51,13 @@ class StoreReader(DataSourceStreamReader):
 
     A poll opens the footers of new files only.  Row groups are visited in the order of their least keys and only their key column
     is read, until no further group can hold one of the next ``rows`` keys; so a poll costs what it admits, not what is stored.
+
+    A batch takes up to ``polls`` polls.  With more than one, offsets also hold the number of the last poll and the last key of each poll of
+    the batch, so that a batch that is read again has the same polls, and the column ``Poll`` of the schema, if there is one, tells them.
     """
 
-    def __init__(self, path: str, rows: int, skip_existing: bool, schema: StructType):
-        self.path, self.rows, self.skip_existing, self.schema = path, rows, skip_existing, schema
+    def __init__(self, path: str, rows: int, skip_existing: bool, schema: StructType, polls: int = 1):
+        self.path, self.rows, self.skip_existing, self.schema, self.polls = path, rows, skip_existing, schema, polls
         self.at: dict | None = None
         self.footers: dict[str, list[tuple[int, int | None, int | None]]] = {}
 
@@ -101,21 +106,31 @@ class StoreReader(DataSourceStreamReader):
         return self.at
 
     def latestOffset(self) -> dict:
-        """The key of the last of the next ``rows`` messages; deleted ones take no place and are passed over."""
-        start = self.initialOffset()["key"]
+        """The key of the last of the next messages, ``rows`` a poll; deleted ones take no place and are passed over."""
+        at, wanted = self.initialOffset(), self.rows * self.polls
+        start = at["key"]
         groups = sorted(((low, high, file, g) for low, high, file, g in self._groups() if start is None or high is None or high > start),
                         key=lambda x: (x[0] is not None, x[0] or 0))
         least: list[int] = []    # the smallest keys so far, negated: the largest of them on top
         for low, _, file, group in groups:
-            if low is not None and len(least) == self.rows and low > -least[0]:
+            if low is not None and len(least) == wanted and low > -least[0]:
                 break
             for keys in self._keys(file, group, start):
                 for key in keys:
-                    if len(least) < self.rows:
+                    if len(least) < wanted:
                         heapq.heappush(least, -key)
                     elif key < -least[0]:
                         heapq.heapreplace(least, -key)
-        return {"key": -least[0]} if least else {"key": start}
+        if not least:
+            return at
+        if self.polls == 1:
+            return {"key": -least[0]}
+        found = sorted(-k for k in least)
+        ends, done = [], 0
+        while done < len(found) and (len(found) < wanted or len(found) - done >= self.rows):    # else more may follow in a short poll
+            ends.append(found[min(done + self.rows, len(found)) - 1])
+            done = bisect_right(found, ends[-1])
+        return {"key": ends[-1], "poll": at.get("poll", 0) + len(ends), "ends": ends}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         """One partition for each file that holds keys of the batch, with the row groups concerned."""
@@ -125,7 +140,8 @@ class StoreReader(DataSourceStreamReader):
             after = start["key"] is None or high is None or high > start["key"]
             if end["key"] is not None and after and (low is None or low <= end["key"]):
                 files.setdefault(file, []).append(group)
-        return [Groups(file, groups, start["key"], end["key"]) for file, groups in files.items()]
+        ends = end.get("ends", [])
+        return [Groups(file, groups, start["key"], end["key"], end.get("poll", 0) - len(ends), ends) for file, groups in files.items()]
 
     def commit(self, end: dict) -> None:
         if self.at is None:
@@ -141,12 +157,15 @@ class StoreReader(DataSourceStreamReader):
             there = [n for n in wanted.names if n in table.schema_arrow.names]
             for batch in table.iter_batches(BATCH, partition.groups, there):
                 rows = batch.filter(_between(batch.column(KEY), partition.start, partition.end))
+                polls = [partition.before + 1 + bisect_left(partition.ends, k) for k in rows.column(KEY).to_pylist()] if partition.ends else None
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(f.name).cast(f.type) if f.name in there else pa.nulls(len(rows), f.type) for f in wanted], schema=wanted)
+                    [pa.array(polls, f.type) if f.name == POLL and polls is not None else rows.column(f.name).cast(f.type) if f.name in there
+                     else pa.nulls(len(rows), f.type) for f in wanted], schema=wanted)
 
 
 class MessageStore(DataSource):
-    """Options: ``path``, ``rows`` a poll, ``skip_existing`` (true or false).  The reader needs a schema that has ``MessageKey``."""
+    """Options: ``path``, ``rows`` a poll, ``polls`` a batch at most, ``skip_existing`` (true or false).  The reader needs a schema that has
+    ``MessageKey``; with several polls a batch its column ``Poll`` holds their numbers."""
 
     @classmethod
     def name(cls) -> str:
@@ -159,6 +178,7 @@ class MessageStore(DataSource):
         if KEY not in schema.names:
             raise ValueError(f"missing columns: ['{KEY}']")
         rows = int(self.options.get("rows", "20"))
-        if rows < 1:
-            raise ValueError("a poll takes one row at least")
-        return StoreReader(self.options["path"], rows, self.options.get("skip_existing", "true").lower() == "true", schema)
+        polls = int(self.options.get("polls", "1"))
+        if rows < 1 or polls < 1:
+            raise ValueError("a poll takes one row at least, a batch one poll")
+        return StoreReader(self.options["path"], rows, self.options.get("skip_existing", "true").lower() == "true", schema, polls)

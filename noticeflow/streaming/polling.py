@@ -28,21 +28,29 @@ def read_messages(spark: SparkSession, path: str, schema: str, max_files: int =
             .parquet(path))
 
 
-def poll_store(spark: SparkSession, path: str, schema: str | StructType, rows: int = MAX_PER_POLL, skip_existing: bool = True) -> DataFrame:
+def poll_store(spark: SparkSession, path: str, schema: str | StructType, rows: int = MAX_PER_POLL, skip_existing: bool = True,
+               polls: int = 1) -> DataFrame:
     """Raw messages of a store as a stream: ``rows`` of them a poll in the order of their keys, from the largest key present at the
     first run on (from the first message with ``skip_existing`` off).  The place is the key in the query's checkpoint, and deleted
     messages neither come nor count.  Poll with :func:`poll_trigger`; ``availableNow`` makes one poll.
+
+    A stream that is behind catches up with up to ``polls`` polls a micro-batch; the column ``Poll`` then numbers them from 1 on, as
+    micro-batches of one poll each would be.  A number goes on after a restart.
     """
+    if polls > 1:
+        fields = StructType.fromDDL(schema).fields if isinstance(schema, str) else schema.fields
+        schema = StructType([f for f in fields if f.name != message_store.POLL]).add(message_store.POLL, "long")
     cloudpickle.register_pickle_by_value(message_store)    # the source's workers need not have this package installed
     spark.dataSource.register(message_store.MessageStore)
-    raw = (spark.readStream.format("message_store").schema(schema).option("path", path).option("rows", rows)
+    raw = (spark.readStream.format("message_store").schema(schema).option("path", path).option("rows", rows).option("polls", polls)
            .option("skip_existing", str(skip_existing).lower()).load())
     return require_columns(raw).filter("DeletedDate IS NULL") if "DeletedDate" in raw.columns else require_columns(raw)
 
 
 def polled_inputs(raw: DataFrame, history_chars: int | None = None) -> DataFrame:
-    """Polled raw messages to input rows; a message without text and title is none."""
-    return messages_to_inputs(to_messages(raw), history_chars)
+    """Polled raw messages to input rows, with the number ``Poll`` of their poll if they have one; a message without text and title is none."""
+    carry = [c for c in raw.columns if c == message_store.POLL]
+    return messages_to_inputs(to_messages(raw, carry), history_chars, carry=carry)
 
 
 def start_key(spark: SparkSession, raw: DataFrame, state_path: str, skip_existing: bool = True) -> int:
